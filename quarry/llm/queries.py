@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, license_scan, line_dedup, sharding, token_files, toxicity
+from quarry.llm import bpe, html_text, license_scan, line_dedup, sharding, token_files, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op8_sharding": sharding.op8_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_html_text": html_text.op10_html_text,
 }
 ORACLE_SQL = {"op3_license_scan": license_scan.SQL, "op9_line_dedup": line_dedup.SQL}

@@ -63,12 +63,14 @@ class Hasher:
         return found
 
 
-def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 300, rate: float = 0.05, decay: float = 1e-5, min_docs: int = 5) -> Model:
+def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, min_docs: int = 5, min_z: float = 4.0) -> Model:
     """Sentence weights by gradient descent (Adam) on the documents' noisy-or log loss.
 
     A document is toxic with probability 1 - prod(1 - p) over its sentences,
     p the logistic of the sum of its distinct features' weights. Features in
-    fewer than ``min_docs`` documents stay at 0. Texts without a sentence are
+    fewer than ``min_docs`` documents, and those whose shares of toxic and of
+    other documents differ by less than ``min_z`` standard errors, stay at 0:
+    else a small sample would be learnt by heart. Texts without a sentence are
     left out; without any text of either label the model scores by the rate.
     """
     hasher = Hasher(bits)
@@ -87,8 +89,15 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 300,
         return Model(weights.astype(np.float32), float(np.log(share / (1 - share))) if len(labels) else -2.0)
     rows, cols, doc = np.array(rows), np.array(cols), np.array(doc)
     pairs = np.unique(cols.astype(np.int64) * len(texts) + doc[rows])
-    frequent = np.bincount(pairs // len(texts), minlength=1 << bits) >= min_docs
-    used = frequent[cols]
+    toxic = labels[pairs % len(texts)] == 1
+    n_all, n_toxic = (np.bincount(pairs[x] // len(texts), minlength=1 << bits) for x in (slice(None), toxic))
+    of_toxic, of_all = (labels == 1).sum(), len(labels)
+    rate_all = n_all / of_all
+    error = np.sqrt(rate_all * (1 - rate_all) * (1 / of_toxic + 1 / (of_all - of_toxic))) + 1e-12
+    z = (n_toxic / of_toxic - (n_all - n_toxic) / (of_all - of_toxic)) / error
+    used = ((n_all >= min_docs) & (abs(z) >= min_z))[cols]
+    if not used.any():
+        return Model(weights.astype(np.float32), float(np.log(share / (1 - share))))
     names, cols = np.unique(cols[used], return_inverse=True)
     rows = rows[used]
     held = np.unique(doc)
