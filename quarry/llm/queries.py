@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, html_text, license_scan, line_dedup, sharding, token_files, toxicity
+from quarry.llm import bpe, html_text, license_scan, line_dedup, near_dedup, sharding, token_files, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_token_files": token_files.op4_token_files,
     "op5_bpe": bpe.op5_bpe,
+    "op6_minhash": near_dedup.op6_minhash,
     "op8_sharding": sharding.op8_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_html_text": html_text.op10_html_text,
