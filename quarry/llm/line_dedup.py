@@ -18,10 +18,13 @@ def line_key(line: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """Rows (id, n_lines, n_dropped, text): each row of ``docs`` with its shared lines removed.
 
+    The columns of ``keep`` are carried along.
+
     Lines are exploded with their position and a 128-bit hash of their key;
     keys of ``min_chars`` code points found in ``min_docs`` distinct ids go,
     except in the largest id that holds them. Counting is pre-aggregated per
@@ -37,6 +40,7 @@ def dedup_lines(
     cut = docs.select(
         F.col(id_col).alias("id"), F.split(text_or_empty(text_col), "\n", -1).alias("lines"),
         F.xxhash64(text_or_empty(text_col)).alias("version"),
+        F.struct(F.lit(0).alias("_"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))).alias("kept"),
     )
     keyed = cut.where("id is not null").select("id", "version", F.explode(F.filter(
         F.transform("lines", lambda x, i: F.struct(i.alias("at"), line_key(x).alias("k"))),
@@ -49,12 +53,13 @@ def dedup_lines(
     gone = keyed.join(shared, "h").where("id <> last").groupBy("id", "version").agg(F.collect_set("at").alias("gone"))
     n = F.size("lines")
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>")))
-    out = cut.join(gone, ["id", "version"], "left").select("id", "lines", n.alias("n_lines"), left.alias("left"))
+    out = cut.join(gone, ["id", "version"], "left").select("id", "lines", "kept", n.alias("n_lines"), left.alias("left"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("n_lines").cast("long").alias("n_lines"),
         (F.col("n_lines") - F.size("left")).cast("long").alias("n_dropped"),
         F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n").alias(text_col),
+        *(F.col("kept")[f"c{i}"].alias(c) for i, c in enumerate(keep)),
     )
 
 

@@ -152,9 +152,11 @@ def train(
     return fit([r["t"] for r in taken], np.array([r["y"] for r in taken], dtype=int))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, score, predicted, worst_start, worst_end, worst_score, n_offending), one for each row.
 
+    The columns of ``keep`` are carried along; nothing is shuffled.
+
     ``score`` is the noisy-or of all sentences of the whole text; the worst
     sentence's span counts code points. Null and empty texts score 0 and have
     no span. Repeated rows and null ids are scored like others. The model is
@@ -162,6 +164,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.bias))
     schema = "id long, score double, worst_start int, worst_end int, worst_score double, n_offending int"
+    names = [f"c{i}" for i in range(len(keep))]
+    carried = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
+    schema += "".join(f", {n} {t}" for n, t in carried.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, bias = shared.value
@@ -194,10 +199,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).cast(pa.int64()), pa.array(out["score"], pa.float64()), pa.array(out["worst_start"], pa.int32()),
                 pa.array(out["worst_end"], pa.int32()), pa.array(out["worst_score"], pa.float64()), pa.array(out["n_offending"], pa.int32()),
-            ], names=["id", *out])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(run, schema)
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("id", id_col)
+                *batch.columns[2:],
+            ], names=["id", *out, *names])
+
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True))
+    ).mapInArrow(run, schema)
+    return rows.select(
+        F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score",
+        "n_offending", *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)),
+    )
 
 
 def held_out(id_col: str = "doc_id"):
