@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("navigator", "graph", "findings")
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _name in MODULES:
+    _module = import_module(f"quarry.operators.{_name}")
+    QUERIES |= _module.REGISTRY.queries
+    ORACLE_SQL |= _module.REGISTRY.sql
