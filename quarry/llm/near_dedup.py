@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import components, stored, table, text_or_empty
 
-SIZE, BAND = 128, 4  # coordinates of a signature, and of a band
+SIZE, BAND = 96, 4  # coordinates of a signature, of 16 bits each, and of a band
 WORDS = 5
 MIN_SIMILARITY = 0.8
 #: Pairs whose signatures agree less than this much (3.1 standard errors under 0.8) aren't compared word by word.
-MIN_ESTIMATE = 0.69
-BLOCK = 1024  # members of a bucket that meet in one task
+MIN_ESTIMATE = 0.675
+SMALL = 12  # members of a bucket whose pairs are listed
+BLOCK = 1024  # members of a larger bucket that meet in one task
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ def dart_signatures(of: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int,
     row, room = np.repeat(of, cells), np.repeat(weight, cells) - cell
     seed = mix(np.repeat(key, cells) ^ mix(cell.astype(np.uint64)))
     total = np.bincount(of, weights=weight, minlength=n)
-    out = np.zeros((n, size), dtype=np.uint32)
+    out = np.zeros((n, size), dtype=np.uint16)
     bound = size * (np.log(size) + 3) / np.maximum(total, 1e-9)
     todo = total > 0
     while todo.any():
@@ -100,7 +101,7 @@ def dart_signatures(of: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int,
             at = (d * size + (h % np.uint64(size)).astype(np.int64))[inside]
             slots.append(at)
             ranks.append(r[inside])
-            values.append((h >> np.uint64(32)).astype(np.uint32)[inside])
+            values.append((h >> np.uint64(48)).astype(np.uint16)[inside])
         slot, rank, value = np.concatenate(slots), np.concatenate(ranks), np.concatenate(values)
         np.minimum.at(best, slot, rank)
         first = best[slot] == rank
@@ -113,8 +114,12 @@ def dart_signatures(of: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int,
 
 
 def sign(rows: DataFrame) -> DataFrame:
-    """Rows (id, g, n, sig) of rows (id, g, w): n distinct shingles; no row where there are none."""
-    schema = pa.schema([("id", pa.int64()), ("g", pa.binary()), ("n", pa.int32()), ("sig", pa.binary())])
+    """Rows (id, g, n, sig, low) of rows (id, g, w): n distinct shingles; no row where there are none.
+
+    ``low`` is the low byte of each coordinate, for estimates: two values
+    agree by chance once in 256.
+    """
+    schema = pa.schema([("id", pa.int64()), ("g", pa.binary()), ("n", pa.int32()), ("sig", pa.binary()), ("low", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,23 +134,23 @@ def sign(rows: DataFrame) -> DataFrame:
                 n = np.bincount(of, minlength=b - a)
                 sig = dart_signatures(of, key, np.ones(len(of)), b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in sig], pa.binary())], schema=schema
+                    [part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], schema=schema
                 ).filter(pa.array(n > 0))
 
-    return rows.mapInArrow(run, "id long, g binary, n int, sig binary")
+    return rows.mapInArrow(run, "id long, g binary, n int, sig binary, low binary")
 
 
 def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose sizes and signatures allow the similarity."""
-    left, right = (signed.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").where(
+    left, right = (signed.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("low").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(
         (F.col("na") >= MIN_SIMILARITY * F.col("nb")) & (F.col("nb") >= MIN_SIMILARITY * F.col("na"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, SIZE) for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SIZE) for i in (2, 3))
                 yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= MIN_ESTIMATE))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -154,7 +159,7 @@ def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b), those of similarity 0.8 or more, by the shingles of ``texts`` (id, w)."""
     a, b = (texts.select(F.col("id").alias(c), F.col("w").alias(f"w{c}")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb")
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "wa", "wb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,25 +180,36 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def within_blocks(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) from different components of one block pair, by size and signature.
+    """Links (a, b) between the components of one block pair: enough of them to join what is linked.
 
-    ``rows``: (key, i, j, side, id, c, n, sig), where a bucket's blocks i and
-    j, at most ``BLOCK`` members each, meet in the group (key, i, j).
+    ``rows``: (key, i, j, side, id, c, n, low, w), where a bucket's blocks i
+    and j, at most about ``BLOCK`` members each, meet in the group (key, i, j).
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if two.empty:
-            two = one
-        sig, others = (np.frombuffer(b"".join(x["sig"]), dtype=np.uint32).reshape(-1, SIZE) for x in (one, two))
-        n, n2, c, c2, ids, ids2 = (x[k].to_numpy() for k in ("n", "c", "id") for x in (one, two))
+        pdf = pdf.sort_values(["side", "id"], ignore_index=True)
+        low = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint8).reshape(-1, SIZE)
+        n, ids = pdf["n"].to_numpy(), pdf["id"].to_numpy()
+        _, group = np.unique(pdf["c"].to_numpy(), return_inverse=True)
+        lists = pdf["w"].to_numpy()
+        of, key = shingles(np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists]))))
+        cut = np.searchsorted(of, np.arange(len(pdf) + 1))
+        sets = [key[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        first = int((pdf["side"] == 0).sum())
+        both = first < len(pdf)
         found = []
-        for k in range(len(one)):
-            may = np.flatnonzero((c2 != c[k]) & (n2 >= MIN_SIMILARITY * n[k]) & (n[k] >= MIN_SIMILARITY * n2))
-            may = may[(others[may] == sig[k]).mean(axis=1) >= MIN_ESTIMATE]
-            found.append((np.full(len(may), ids[k]), ids2[may]))
-        a, b = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        for k in range(first):
+            start = first if both else k + 1
+            may = (n[start:] >= MIN_SIMILARITY * n[k]) & (n[k] >= MIN_SIMILARITY * n[start:]) & (group[start:] != group[k])
+            may = np.flatnonzero(may) + start
+            agree = (low[may] == low[k]).mean(axis=1)
+            for m in may[agree >= MIN_ESTIMATE][np.argsort(-agree[agree >= MIN_ESTIMATE], kind="stable")]:
+                if group[m] != group[k]:
+                    common = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
+                    if common >= MIN_SIMILARITY * (len(sets[k]) + len(sets[m]) - common):
+                        found.append((min(ids[k], ids[m]), max(ids[k], ids[m])))
+                        group[group == group[m]] = group[k]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
@@ -207,14 +223,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Each text gets a dart signature in one pass. Equal texts become one
        representative by a pre-aggregated minimum (``copy_of``).
-    2. Signatures are cut in 32 bands of 4 coordinates: a pair of similarity
-       0.8 misses all of them with a probability of 5e-8. In each bucket all
+    2. Signatures are cut in 24 bands of 4 coordinates: a pair of similarity
+       0.8 misses all of them with a probability of 3e-6. In each bucket all
        members are held against the bucket's smallest id, which costs a row a
        member, however large the bucket is. Pairs that pass are checked
        exactly, and components found.
-    3. In buckets where members of several components remain, those are
-       held against each other by signature, in blocks of at most 1024, and
-       what passes is checked exactly. So no link is lost through step 2.
+    3. In buckets where members of several components remain, a second star
+       starts from the smallest id of another component than the first's.
+       Then what still differs is held against each other: the pairs of a
+       bucket of at most 12, and larger ones in blocks of about 1024, in
+       whose tasks they are checked exactly and only links that join two
+       components are given. So no link is lost through step 2, and no step
+       lists the pairs of a large group.
 
     Texts without a word, null and empty ones are linked with nothing.
     Repeated rows of one id count once, with the first text in order. Rows
@@ -224,40 +244,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("t"))
     rows = base.select("id", F.unhex(F.md5("t")).alias("g"), words_of(F.col("t")).alias("w"))
     signed = stored(sign(rows), "signed")
-    reps = signed.groupBy("g").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select("g", "r.*")
+    reps = signed.groupBy("g").agg(F.min(F.struct("id", "n", "sig", "low")).alias("r")).select("g", "r.*")
     reps = stored(reps, "representatives")
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(SIZE // BAND - 1)),
-        lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * BAND * 4 + 1, F.lit(BAND * 4))),
+        lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * BAND * 2 + 1, F.lit(BAND * 2))),
     )
     buckets = reps.select("id", F.explode(bands).alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = stored(buckets.join(shared, "key").select("key", "id", "low", "members"), "met")
-    stars = met.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    signs = reps.select("id", "n", "sig")
-    wanted = stored(agreeing(stars, signs), "stars")
-
-    def texts(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return stored(base.join(ids, "id", "left_semi").select("id", words_of(F.col("t")).alias("w")).dropDuplicates(["id"]), "texts")
-
-    links = stored(similar(wanted, texts(wanted)), "links")
-    found = stored(components(links), "components")
-
-    known = met.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select(
-        "key", "id", "members", F.coalesce("component", "id").alias("c")
-    )
-    mixed = known.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    rest = known.join(mixed, "key", "left_semi").withColumn("blocks", F.ceil(F.col("members") * 1.2 / BLOCK).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    shared = buckets.groupBy("key").agg(
+        F.min("id").alias("star"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum")
+    ).where("members > 1")
+    # Buckets of the same members are one bucket.
+    shared = shared.groupBy("star", "members", "sum").agg(F.min("key").alias("key"))
+    met = stored(buckets.join(shared.select("key", "star", "members").hint("merge"), "key"), "met")
+    signs = reps.select("id", "n", "low")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        held = base.join(ids.distinct().hint("merge"), "id", "left_semi").select("id", words_of(F.col("t")).alias("w"))
+        return stored(held.dropDuplicates(["id"]), "texts")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        wanted = stored(agreeing(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), signs), "wanted")
+        return stored(similar(wanted, texts(wanted.select(F.explode(F.array("a", "b")).alias("id")))), "links")
+
+    def mixed(links: DataFrame) -> DataFrame:
+        """Members, with their components c, of the buckets that hold several; ``star`` is the least id outside the first's."""
+        found = stored(components(links), "components").select(F.col("node").alias("id"), "component")
+        known = met.join(found.hint("merge"), "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("c"))
+        known = stored(known, "known")
+        ends = known.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
+        rest = known.join(ends.hint("merge"), "key")
+        star = rest.where("c <> c1").groupBy("key").agg(F.min("id").alias("star"))
+        return rest.join(star.hint("merge"), "key").select("key", "id", "members", "c", "star")
+
+    links = checked(met.select(F.col("star").alias("a"), F.col("id").alias("b")))
+    links = stored(links.union(checked(mixed(links).select(F.col("star").alias("a"), F.col("id").alias("b")))), "links")
+    rest = stored(mixed(links), "rest")
+    small = rest.where(F.col("members") <= SMALL).select("key", "id", "c")
+    pairs = small.join(small.select("key", F.col("id").alias("b"), F.col("c").alias("d")).hint("merge"), "key").where("id < b and c <> d")
+    few = checked(pairs.select(F.col("id").alias("a"), "b"))
+    large = rest.where(F.col("members") > SMALL).withColumn("blocks", F.ceil(F.col("members") * 1.2 / BLOCK).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # Block b is side 0 of (b, j >= b) and side 1 of (i < b, b).
-    rest = rest.select("key", "id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+    placed = large.select("key", "id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("other") < F.col("block"), 1).otherwise(0).alias("side"), "id", "c",
     )
-    more = stored(within_blocks(rest.join(signs, "id")).distinct(), "more")
-    late = stored(similar(more, texts(more)), "late-links")
-    classes = stored(components(links.union(late)), "classes")
+    full = placed.join(signs.hint("merge"), "id").join(texts(large.select("id")).hint("merge"), "id")
+    many = stored(within_blocks(full), "late-links")
+    classes = stored(components(links.union(few).union(many)), "classes")
 
     owner = reps.select("g", F.col("id").alias("rep"))
     member = signed.groupBy("id").agg(F.min(F.struct("g", "n")).alias("x")).select("id", "x.*").join(owner, "g")
