@@ -137,7 +137,7 @@ def unused_dependency(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sarif_render(spark: SparkSession, d: str) -> DataFrame:
-    """One SARIF 2.1.0 result, as JSON, for each finding; a log's fixed parts are added by ``sources.sinks``."""
+    """One SARIF 2.1.0 result, as JSON, for each finding; a log's fixed parts are added by ``sources.filesystem.sarif_log``."""
     f = findings(spark, d)
     location = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
     return f.select("id", F.to_json(F.struct(

@@ -76,7 +76,7 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
         sent = now.join(edges, now["node"] == edges["src"]).groupBy("dst").agg(F.min("label").alias("got"))
         new = settled(
             now.join(sent, now["node"] == sent["dst"], "left").select(
-                "node", F.least("label", F.coalesce("got", "label")).alias("label"), (F.col("got") < F.col("label")).alias("changed")
+                "node", F.least("label", F.coalesce("got", "label")).alias("label"), (F.col("got").isNotNull() & (F.col("label").isNull() | (F.col("got") < F.col("label")))).alias("changed")
             )
         )
         more = new.where("changed").limit(1).count()
@@ -114,7 +114,7 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         back = _spread(same.select("src", "dst"), colour.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label")))
         mine = settled(back.join(colour.withColumnRenamed("label", "component"), "node").where("label = component").select("node", "component"))
         size = mine.groupBy("component").count().where("count > 1").select("component")
-        part = mine.join(size, "component", "left_semi")
+        part = mine.join(size, "component", "left_semi").select("node", "component")
         found = settled(part if found is None else found.union(part))
         gone = mine.select("node")
         e = settled(e.join(gone, e["src"] == gone["node"], "left_anti").join(gone, F.col("dst") == gone["node"], "left_anti"))

@@ -1,0 +1,156 @@
+"""Sources: file trees, history, issues, manifests, imports, heuristic symbols."""
+
+from __future__ import annotations
+
+import json
+import subprocess
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions.scalars import glob_to_regex, line_count, normalize_path, tokens
+
+# Folders that are never read, and languages by file ending.
+IGNORED_DIRS = ("node_modules", ".git", "dist", "build", "target", "vendor", ".venv", "venv", "__pycache__", ".cache", "coverage", ".next", ".idea", ".vscode", "zig-cache", "zig-out")
+LANGUAGES = {
+    "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "py": "Python", "rs": "Rust", "go": "Go", "c": "C", "h": "C",
+    "cpp": "C++", "hpp": "C++", "cc": "C++", "zig": "Zig", "java": "Java", "rb": "Ruby", "sh": "Shell", "bash": "Shell", "md": "Markdown", "json": "JSON",
+    "yaml": "YAML", "yml": "YAML", "toml": "TOML", "sql": "SQL", "html": "HTML", "css": "CSS",
+}
+MANIFESTS = ("package.json", "Cargo.toml", "go.mod", "pyproject.toml", "build.zig", "CMakeLists.txt", "Makefile", "pom.xml")
+ROUTE_GLOBS = ("**/routes/**", "**/pages/**", "**/app/**/route.ts")
+
+
+def ignored(path: Column, dirs: Iterable[str] = IGNORED_DIRS, globs: Iterable[str] = ()) -> Column:
+    """In an ignored folder, or matching a glob by path or by name."""
+    parts = F.split(path, "/")
+    out = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*(F.lit(x) for x in dirs)))
+    for g in globs:
+        out = out | path.rlike(glob_to_regex(g)) | F.element_at(parts, -1).rlike(glob_to_regex(g))
+    return out
+
+
+def language_of(path: Column, more: dict[str, str] | None = None) -> Column:
+    table = LANGUAGES | (more or {})
+    known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    ending = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.coalesce(F.try_element_at(known, ending), F.lit("Other"))
+
+
+def read_tree(spark: SparkSession, root: str, globs: Iterable[str] = ()) -> DataFrame:
+    """Files under a root as units: path, language, bytes, mtime, text, loc, tokens, is_manifest. Files that aren't UTF-8 have what can be read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z0-9]+:/*", "/")
+    path = F.ltrim(F.replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), base, F.lit("")), F.lit("/"))
+    named = files.select(path.alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
+    kept = named.where(~ignored(F.col("path"), globs=globs))
+    language = language_of(F.col("path"))
+    return kept.select(
+        "path", language.alias("language"), "bytes", "mtime", "text", line_count(F.col("text")).alias("loc"),
+        tokens(F.char_length("text"), 3.5).alias("tokens"), (F.col("path").isin(*MANIFESTS) | F.endswith("path", F.lit(".csproj"))).alias("is_manifest"),
+    )
+
+
+def entrypoints(units: DataFrame, globs: Iterable[str], named: Iterable[str] = ()) -> DataFrame:
+    """``units`` with entrypoint ('true' if configured, 'inferred', or null) and the reason."""
+    path = F.col("path")
+    configured = F.lit(False)
+    for g in globs:
+        configured = configured | path.rlike(glob_to_regex(g))
+    route = F.lit(False)
+    for g in ROUTE_GLOBS:
+        route = route | path.rlike(glob_to_regex(g))
+    script = F.startswith("text", F.lit("#!"))
+    inferred = F.when(path.isin(*named), "manifest").when(route, "route").when(script, "shebang")
+    return units.withColumns({
+        "entrypoint": F.when(configured, "true").when(inferred.isNotNull(), "inferred"),
+        "entrypoint_reason": F.when(configured, "config").otherwise(inferred),
+    })
+
+
+def _with(name: str, **fixed) -> Callable[[Column], Column]:
+    """What makes a struct of an element and fixed values."""
+    return lambda x: F.struct(x.alias(name), *(F.lit(v).alias(k) for k, v in fixed.items()))
+
+
+def imports(units: DataFrame) -> DataFrame:
+    """Rows (path, specifier, confidence) of static, type-only, dynamic (0.5) and shell imports."""
+    patterns = (
+        (r"""(?m)^\s*(?:import|export)\b[^'";]*?\bfrom\s*['"]([^'"]+)['"]""", 1.0), (r"""(?m)^\s*import\s*['"]([^'"]+)['"]""", 1.0),
+        (r"""\bimport\(\s*['"]([^'"]+)['"]\s*\)""", 0.5), (r"(?m)^\s*(?:source|\.)\s+([./\w-]+)", 1.0),
+    )
+    found = F.concat(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _with("specifier", confidence=c)) for p, c in patterns))
+    rows = units.select("path", F.explode(found).alias("i")).select("path", "i.*")
+    return rows.groupBy("path", "specifier").agg(F.max("confidence").alias("confidence"))
+
+
+ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js")
+
+
+def resolve_imports(found: DataFrame, units: DataFrame) -> DataFrame:
+    """Edges (src, dst, confidence) of relative specifiers: the first of the endings that is a unit."""
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    rel = found.where(F.startswith("specifier", F.lit("."))).select("path", "specifier", "confidence", normalize_path(F.concat(folder, "specifier")).alias("base"))
+    tries = rel.where("base is not null").select("path", "specifier", "confidence", F.posexplode(F.array(*(F.concat("base", F.lit(e)) for e in ENDINGS))).alias("pos", "dst"))
+    hits = tries.join(units.select(F.col("path").alias("dst")).distinct(), "dst")
+    best = hits.groupBy("path", "specifier").agg(F.min_by("dst", "pos").alias("dst"), F.max("confidence").alias("confidence"))
+    return best.where("path <> dst").groupBy(F.col("path").alias("src"), "dst").agg(F.max("confidence").alias("confidence"))
+
+
+SYMBOL_PATTERNS = (
+    ("Function", r"(?m)^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)"), ("Class", r"(?m)^\s*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
+    ("Interface", r"(?m)^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"), ("Function", r"(?m)^\s*(?:pub\s+)?fn\s+([A-Za-z_]\w*)"), ("Function", r"(?m)^\s*def\s+([A-Za-z_]\w*)"),
+    ("Function", r"(?m)^([A-Za-z_]\w*)\s*\(\)\s*\{"), ("Variable", r"(?m)^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)"),
+)
+
+
+def heuristic_symbols(units: DataFrame) -> DataFrame:
+    """Rows (path, kind, name), each once."""
+    found = F.concat(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _with("name", kind=k)) for k, p in SYMBOL_PATTERNS))
+    return units.select("path", F.explode(F.array_distinct(found)).alias("s")).select("path", "s.kind", "s.name")
+
+
+def scan(units: DataFrame, pattern: str) -> DataFrame:
+    """Rows (path, line_no, line) of trimmed lines that match, whatever the case; tests and fixtures are left out."""
+    lines = units.where(~F.col("path").rlike(r"(^|/)(tests?|fixtures?)/|\.(test|spec)\.")).select("path", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return lines.where(F.col("line").rlike(f"(?i){pattern}")).select("path", (F.col("at") + 1).alias("line_no"), F.trim("line").alias("line"))
+
+
+def read_history(spark: SparkSession, repo: str, since: str = "6 months ago", limit: int = 200) -> DataFrame:
+    """Commits (hash, ts, subject, files) of a git work tree; empty if there is none. ``limit`` is a feature of the source."""
+    schema = "hash string, ts timestamp, subject string, files array<string>"
+    run = subprocess.run(
+        ["git", "-C", repo, "log", f"--since={since}", f"--max-count={limit}", "--name-only", "--format=%x01%H%x02%ct%x02%s"], capture_output=True, text=True, check=False
+    )
+    if run.returncode:
+        return spark.createDataFrame([], schema)
+    rows = []
+    for record in run.stdout.split("\x01")[1:]:
+        head, _, rest = record.partition("\n")
+        commit, at, subject = head.split("\x02", 2)
+        rows.append((commit, int(at), subject, [x for x in rest.split("\n") if x]))
+    return spark.createDataFrame(rows, "hash string, at long, subject string, files array<string>").select("hash", F.timestamp_seconds("at").alias("ts"), "subject", "files")
+
+
+def read_issues(spark: SparkSession, path: str) -> DataFrame:
+    """Issues (id, title, status, priority, depends_on) of a JSON list; entries without a text id and title are left out."""
+    raw = spark.read.schema("id string, title string, status string, priority int, dependencies array<struct<depends_on_id:string>>").json(path, multiLine=True)
+    return raw.where("id is not null and title is not null").select(
+        "id", "title", "status", "priority", F.coalesce(F.col("dependencies.depends_on_id"), F.array().cast("array<string>")).alias("depends_on")
+    )
+
+
+def manifest_packages(units: DataFrame) -> DataFrame:
+    """Rows (path, name, section) of the packages that package.json files declare, in lower case."""
+    sections = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+    parsed = units.where("path = 'package.json' or path like '%/package.json'").select("path", F.from_json("text", ", ".join(f"{s} map<string,string>" for s in sections)).alias("j"))
+    rows = F.flatten(F.array(*(F.transform(F.coalesce(F.map_keys(f"j.{s}"), F.array().cast("array<string>")), _with("name", section=s)) for s in sections)))
+    return parsed.select("path", F.explode(rows).alias("p")).select("path", F.lower("p.name").alias("name"), "p.section")
+
+
+def sarif_log(results: DataFrame, tool: str = "quarry") -> str:
+    """A SARIF 2.1.0 log of the rows of ``sarif_render``. The log is one document: its results are collected."""
+    rows = [json.loads(r["result"]) for r in results.orderBy("id").toLocalIterator()]
+    rules = sorted({r["ruleId"] for r in rows})
+    return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": [{"id": r} for r in rules]}}, "results": rows}]})
