@@ -45,7 +45,7 @@ def shingles(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     begin = offsets[:-1] - offsets[0]
     with np.errstate(over="ignore"):
         key = np.zeros(max(0, len(w) - WORDS + 1), dtype=np.uint64)
-        for i in range(WORDS):
+        for i in range(WORDS if len(key) else 0):
             key = mix(key ^ w[i : len(w) - WORDS + 1 + i])
     of = np.repeat(np.arange(len(sizes)), sizes)[: len(key)]
     last = begin + sizes - WORDS
