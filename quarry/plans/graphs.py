@@ -120,15 +120,41 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         e = settled(e.join(gone, e["src"] == gone["node"], "left_anti").join(gone, F.col("dst") == gone["node"], "left_anti"))
 
 
-def widest_paths(edges: DataFrame, roots: DataFrame, levels: tuple[float, ...] = (1.0, 0.5)) -> DataFrame:
+def _flood(pdf: pd.DataFrame, levels: tuple[float, ...]) -> pd.DataFrame:
+    """Rows (node, reach) of rows (src, dst, confidence); a root is a row of confidence -1."""
+    roots = pdf["confidence"] < 0
+    out: dict = {}
+    for a, b, c in zip(pdf["src"][~roots], pdf["dst"][~roots], pdf["confidence"][~roots], strict=True):
+        out.setdefault(a, []).append((b, c))
+    reach = dict.fromkeys(pdf["src"][roots], levels[0])
+    for level in levels:
+        front = list(reach)
+        while front:
+            found = []
+            for node in front:
+                for other, confidence in out.get(node, ()):
+                    if confidence >= level and other not in reach:
+                        reach[other] = level
+                        found.append(other)
+            front = found
+    return pd.DataFrame({"node": list(reach), "reach": [float(x) for x in reach.values()]})
+
+
+def widest_paths(edges: DataFrame, roots: DataFrame, levels: tuple[float, ...] = (1.0, 0.5), small: int = SMALL) -> DataFrame:
     """Rows (node, reach): the best, over all paths from ``roots`` (node), of the least confidence on the path.
 
     One breadth-first search for each level, from high to low, over the
     edges of at least that confidence. A node is reached once, and each
-    round only follows the edges of the nodes reached last.
+    round only follows the edges of the nodes reached last. Up to ``small``
+    edges and roots, a counted size, are searched by one task.
     """
     e = settled(edges.select("src", "dst", "confidence"))
-    found = settled(roots.select("node", F.lit(levels[0]).alias("reach")).distinct())
+    start = settled(roots.select("node").distinct())
+    if e.count() + start.count() <= small:
+        kind = dict(e.dtypes)["dst"]
+        rows = e.union(start.select("node", F.col("node").alias("dst"), F.lit(-1.0))).withColumn("_all", F.lit(0))
+        return rows.groupBy("_all").applyInPandas(lambda pdf: _flood(pdf, levels), f"node {kind}, reach double")
+    found = settled(start.select("node", F.lit(levels[0]).alias("reach")))
     for level in levels:
         strong = e.where(F.col("confidence") >= level)
         front = found.select("node")

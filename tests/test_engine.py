@@ -79,9 +79,10 @@ def test_ring_in_one_task(spark):
     assert strong_components(spark.createDataFrame(RING, "src long, dst long")).count() == 60
 
 
-def test_widest_paths(spark):
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_widest_paths(spark, small):
     e = spark.createDataFrame([("i", "a", 1.0), ("a", "b", 0.5), ("i", "c", 1.0), ("c", "b", 1.0), ("c", "d", 0.5), ("x", "y", 1.0)], "src string, dst string, confidence double")
-    got = dict(map(tuple, widest_paths(e, spark.createDataFrame([("i",)], "node string")).collect()))
+    got = dict(map(tuple, widest_paths(e, spark.createDataFrame([("i",)], "node string"), small=small).collect()))
     assert got == {"i": 1.0, "a": 1.0, "b": 1.0, "c": 1.0, "d": 0.5}
 
 
