@@ -168,3 +168,18 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("act").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_references_and_analyzers(spark):
+    from quarry.operators.reports import references, run_analyzers
+
+    edges = spark.createDataFrame([("Run", "a.ts")], "to_name string, path string")
+    names = spark.createDataFrame([("Walk", "b.ts"), ("run", "c.ts")], "name string, path string")
+
+    def down(_):
+        raise OSError("no server")
+
+    got = [(s, [r["path"] for r in df.collect()]) for s, df in (references(edges, names, "run"), references(edges, names, "walk", down), references(None, names, "RUN"))]
+    assert got == [("indexed-edges", ["a.ts"]), ("indexed-symbols", ["b.ts"]), ("indexed-symbols", ["c.ts"])]
+    rows = run_analyzers(spark, DATA, ("architecture", "bad"), (("architecture", catalog.QUERIES["layer_violations"]), ("bad", lambda s, d: s.table("none"))))
+    assert [(r["analyzer"], r["status"]) for r in rows.collect()] == [("architecture", "success"), ("bad", "failed")]
