@@ -37,6 +37,10 @@ NOISE = frozenset(
     "navigation menu menus breadcrumb breadcrumbs crumbs pagination pager paginator header masthead topbar footer foot footnav colophon comment comments commentlist disqus reply replies "
     "respond share sharing social related recommended recommendations widget widgets toolbar search form skip".split()
 )
+#: An article has a header of its own.
+ARTICLE_NOISE = NOISE - {"header", "search", "form"}
+#: A name with such a word tells what a page has, as in has-sidebar.
+ABOUT = frozenset("with without has no".split())
 #: For these only what names an advert or a comment counts: their class may name a page that has a sidebar, say.
 KEPT = frozenset("html body main article".split())
 KEPT_NOISE = frozenset("ad ads advert advertisement sponsored promo comment reply related".split())
@@ -63,10 +67,11 @@ def is_noise(tag: str, raw_attrs: str, in_article: bool) -> bool:
         if name == "role" and value.lower() in ROLES:
             return True
         if name in ("class", "id"):
-            words = {w.lower() for w in NAME_PART.findall(value)}
-            noise = KEPT_NOISE if tag in KEPT else NOISE - {"header"} if in_article and tag in ("header", "h1", "h2", "h3") else NOISE
-            if words & noise:
-                return True
+            noise = KEPT_NOISE if tag in KEPT else ARTICLE_NOISE if in_article else NOISE
+            for token in value.split():
+                words = {w.lower() for w in NAME_PART.findall(token)}
+                if words & noise and not words & ABOUT:
+                    return True
     return False
 
 

@@ -365,7 +365,7 @@ def test_lines_equal_brute_force(spark, odd, empty):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="<p>no</p>";</script></head><body>
 <header><h1>Site, name, and more</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice"><p>We use cookies, many, many cookies, on this page of ours.</p></div>
-<div id="wrap"><div class="content">%s</div><div class="sidebar"><p>Side, text, with commas, and a length that a paragraph has.</p></div>
+<div id="wrap" class="layout has-sidebar"><div class="content">%s</div><div class="sidebar"><p>Side, text, with commas, and a length that a paragraph has.</p></div>
 <div id="comments"><article class="comment"><p>A reader, who, writes, commas, and a lot of text, that is not the article at all.</p></article></div></div>
 <form><p>Sign up, please, and give us your address, now, here.</p></form><footer>&copy; 2020</footer></body></html>"""
 BODY = "<h2>Head</h2><p>First,&nbsp;long paragraph, with &amp; commas &lt;b&gt; and <b>bold</b>   text\n that goes on.<p>Second one, unclosed, also long enough to count as text.<ul><li>one<li>two</ul><p>end.</p>"
