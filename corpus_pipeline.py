@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import bpe_digest, bpe_encode
+from quarry.llm.bpe import bpe_round_trip
 from quarry.llm.common import stored, table
 from quarry.llm.decontaminate import find_contamination
 from quarry.llm.line_dedup import dedup_lines
@@ -51,7 +51,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_digest(bpe_encode(docs, path, public_tokenizers.PATTERN), path)
+    return bpe_round_trip(docs, path, public_tokenizers.PATTERN)
 
 
 STAGES = [

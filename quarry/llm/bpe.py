@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,12 @@ class Vocabulary:
             self.tokens[rank] = token
         self.size = size
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.decimal = [str(i) for i in range(size)]
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all pairs that merge, in order, and the ranks of what they give."""
+        size = self.size
         pairs = {
             self.ranks[t[:i]] * size + self.ranks[t[i:]]: rank
             for t, rank in self.ranks.items()
@@ -38,13 +44,13 @@ class Vocabulary:
         }
         keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
         order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs))[order]
-        self.decimal = [str(i) for i in range(size)]
+        return keys[order], np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs))[order]
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK)
+        keys, ranks = self.pairs
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, ranks[at], NO_RANK)
 
     def one_word(self, word: bytes) -> list[int]:
         """The lowest-ranked, leftmost pair of neighbours is merged until none is left."""
@@ -76,16 +82,16 @@ def replay(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
     if not n:
         return np.zeros(0, np.int32), starts
     sym = vocab.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
-    word_of = np.repeat(np.arange(len(words)), sizes)
-    nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     filled = sizes > 0
     nxt[starts[1:][filled] - 1] = n
     prv[starts[:-1][filled]] = n
-    sym, nxt, prv = np.append(sym, 0), np.append(nxt, n), np.append(prv, n)  # n is a sentinel
+    sym, nxt, prv = (np.append(x, np.int32(y)) for x, y in ((sym, 0), (nxt, n), (prv, n)))  # n is a sentinel
     alive = np.ones(n + 1, dtype=bool)
     rank = np.full(n + 1, NO_RANK, dtype=np.int32)
     rank[:n] = np.where(nxt[:n] < n, vocab.rank_of(sym[:n], sym[nxt[:n]]), NO_RANK)
-    first = np.argsort(rank[:n], kind="stable")
+    first = np.argsort(rank[:n], kind="stable").astype(np.int32)
     begins = np.searchsorted(rank[first], np.arange(vocab.size + 1))
     later: dict[int, list[np.ndarray]] = {}
     odd: set[int] = set()
@@ -172,7 +178,7 @@ def encode_block(vocab: Vocabulary, split: regex.Pattern, texts: list[str]) -> l
     coded = []
     for text in texts:
         found = split.findall(text)
-        coded.append(np.fromiter((number.setdefault(w, len(number)) for w in found), dtype=np.int64, count=len(found)))
+        coded.append(np.fromiter((number.setdefault(w, len(number)) for w in found), dtype=np.int32, count=len(found)))
     ids, offsets = replay(vocab, [w.encode() for w in number])
     return [gather(ids, offsets, c) for c in coded]
 
@@ -193,7 +199,7 @@ def blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list
 
 
 def bpe_encode(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 16_000_000
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000
 ) -> DataFrame:
     """Rows (id, ids array<int>): the token ids of each whole text, as the ranks and the pattern give.
 
@@ -222,29 +228,48 @@ def bpe_encode(
     return rows.mapInArrow(encode, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def digest_batch(keys: list, lists: list[np.ndarray], ranks_path: str) -> pa.RecordBatch:
+    """(id, n, a, b): the number of ids, and the digests of the ids in decimal and of the bytes that they decode to."""
+    decimal = vocabulary(ranks_path).decimal
+    flat, offsets = decoder(ranks_path)
+    a = [hashlib.sha256(" ".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest() for ids in lists]
+    b = [hashlib.sha256(gather(flat, offsets, ids).tobytes()).hexdigest() for ids in lists]
+    return pa.RecordBatch.from_pydict({
+        "id": pa.array(keys, pa.int64()), "n": pa.array(map(len, lists), pa.int64()), "a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())
+    })
+
+
+def _named(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("a").alias("ids_sha256"), F.col("b").alias("decoded_sha256"))
+
+
 def bpe_digest(coded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
     """Rows (id, n_tokens, ids_sha256, decoded_sha256) of rows (id, ids): decodes the ids."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = vocabulary(ranks_path).decimal
-        flat, offsets = decoder(ranks_path)
         for batch in batches:
-            sizes, a, b = [], [], []
-            values, at = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
-            at = at - at[0]
-            for i in range(len(at) - 1):
-                ids = values[at[i] : at[i + 1]]
-                sizes.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
-                b.append(hashlib.sha256(gather(flat, offsets, ids).tobytes()).hexdigest())
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n": pa.array(sizes, pa.int64()), "a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+            values, at = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            yield digest_batch(batch.column(0).to_pylist(), [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], ranks_path)
+
+    return _named(coded.select(F.col(id_col).alias("id"), "ids").mapInArrow(decode, "id long, n long, a string, b string"), id_col)
 
-    out = coded.select(F.col(id_col).alias("id"), "ids").mapInArrow(decode, "id long, n long, a string, b string")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("a").alias("ids_sha256"), F.col("b").alias("decoded_sha256"))
+
+def bpe_round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000
+) -> DataFrame:
+    """``bpe_digest`` of ``bpe_encode`` in one task: the ids don't leave it, and one Python process does both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, split = vocabulary(ranks_path), regex.compile(pattern)
+        for keys, texts in blocks(batches, block_chars):
+            yield digest_batch(keys, encode_block(vocab, split, texts), ranks_path)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t"))
+    return _named(rows.mapInArrow(run, "id long, n long, a string, b string"), id_col)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_digest(bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return bpe_round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
