@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, text_or_empty
+from quarry.llm.common import table
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
@@ -48,7 +49,7 @@ def pieces(text: str) -> list[tuple[int, int]]:
 class Hasher:
     """Features of words: the word and its beginnings, each hashed to ``bits`` bits. Known words are kept, up to a bound."""
 
-    def __init__(self, bits: int, keep: int = 300_000) -> None:
+    def __init__(self, bits: int, keep: int = 100_000) -> None:
         self.mask, self.keep = (1 << bits) - 1, keep
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -74,20 +75,19 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 300,
     left out; without any text of either label the model scores by the rate.
     """
     hasher = Hasher(bits)
-    rows, cols, doc = [], [], []
-    n = 0
+    counts, cols, doc = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
-        low = text
-        for a, b in pieces(low):
-            f = {x for w in WORD.findall(low[a:b].lower()) for x in hasher(w)}
+        for a, b in pieces(text):
+            f = {x for w in WORD.findall(text[a:b].lower()) for x in hasher(w)}
             cols.extend(f)
-            rows.extend([n] * len(f))
+            counts.append(len(f))
             doc.append(d)
-            n += 1
+    n = len(doc)
     weights, share = np.zeros(1 << bits, dtype=np.float64), float(np.clip(labels.mean() if len(labels) else 0.1, 0.01, 0.99))
     if not n or not 0 < labels.mean() < 1:
         return Model(weights.astype(np.float32), float(np.log(share / (1 - share))) if len(labels) else -2.0)
-    rows, cols, doc = np.array(rows), np.array(cols), np.array(doc)
+    cols, doc = np.array(cols), np.array(doc)
+    rows = np.repeat(np.arange(n, dtype=np.int32), counts)
     pairs = np.unique(cols.astype(np.int64) * len(texts) + doc[rows])
     toxic = labels[pairs % len(texts)] == 1
     n_all, n_toxic = (np.bincount(pairs[x] // len(texts), minlength=1 << bits) for x in (slice(None), toxic))
@@ -125,7 +125,7 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 300,
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_docs: int = 3000, max_chars: int = 12_000_000,
+    max_docs: int = 3000, max_chars: int = 8_000_000,
 ) -> Model:
     """Fit on a bounded sample of the labelled rows given: half of either label where there are enough.
 
@@ -173,9 +173,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         weights = np.frombuffer(raw, dtype=np.float32)
         hasher = Hasher(len(weights).bit_length() - 1)
         heavy: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             out: dict[str, list] = {k: [] for k in ("score", "worst_start", "worst_end", "worst_score", "n_offending")}
             for text in batch.column(1).to_pylist():
+                text = text or ""
                 keep, best, span, bad = 0.0, -1.0, (None, None), 0
                 for a, b in pieces(text):
                     seen: set[int] = set()
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         f = heavy.get(w)
                         if f is None:
                             f = heavy[w] = tuple(x for x in hasher(w) if weights[x])
-                            if len(heavy) > 400_000:
+                            if len(heavy) > 150_000:
                                 heavy.clear()
                         seen.update(f)
                     s = bias + sum(weights[x] for x in seen) if seen else bias
@@ -199,12 +200,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).cast(pa.int64()), pa.array(out["score"], pa.float64()), pa.array(out["worst_start"], pa.int32()),
                 pa.array(out["worst_end"], pa.int32()), pa.array(out["worst_score"], pa.float64()), pa.array(out["n_offending"], pa.int32()),
-                *batch.columns[2:],
+                *(batch.column(k) for k in places),
             ], names=["id", *out, *names])
 
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True))
-    ).mapInArrow(run, schema)
+    sent = [c for c in keep if c != text_col]  # the text goes to the task once
+    places = [2 + sent.index(c) if c != text_col else 1 for c in keep]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *(F.col(c).alias(f"s{i}") for i, c in enumerate(sent))).mapInArrow(run, schema)
     return rows.select(
         F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score",
         "n_offending", *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)),
