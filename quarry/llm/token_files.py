@@ -9,16 +9,22 @@ payload: each block's ids, ``bits`` bits each, lowest bit first.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.bpe import blocks
 from quarry.llm.common import new_path, parallelism, table, text_or_empty
 
 HEADER = struct.Struct("<8sIIQQQQ")
@@ -81,6 +87,137 @@ class TokenFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+class Coder:
+    """Ids of whole texts as the tokenizer's ``encode`` gives them, each different part encoded once.
+
+    The byte-level pattern never joins what stands before a blank with what
+    begins at it. So where each blank of a text is one space or line feed
+    between other characters, the parts are its words, with the space before
+    them, and its line feeds. Other texts are cut by the pattern itself. A
+    text that holds an added token's string is encoded whole, and so is every
+    text by a tokenizer of another kind, or with a normaliser.
+    """
+
+    def __init__(self, path: str, pattern: str, most: int = 600_000) -> None:
+        """``most``: so many parts are kept from text to text before they are forgotten."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        self.tokenizer = Tokenizer.from_file(path)
+        split = config.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.apart = plain and not config.get("normalizer") and not config.get("truncation") and not config.get("padding")
+        self.added = [t["content"] for t in config.get("added_tokens", ())]
+        self.split = regex.compile(pattern)
+        self.most = most
+        self.forget()
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def parts(self, parts: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all parts, not in order, and where each begins and how many it has.
+
+        Parts go to the library in lines: the pattern never joins a line feed
+        with what follows it here, and its id occurs in no part but blank
+        ones, which are encoded alone. If the lines don't come back as many
+        as they were, they are too.
+        """
+        feed = self.whole("\n")
+        blank = np.array([w.isspace() or not w for w in parts], dtype=bool)
+        begins, sizes = np.zeros(len(parts), dtype=np.int64), np.zeros(len(parts), dtype=np.int64)
+        flat, held = [np.zeros(0, np.uint32)], 0
+        lined = np.flatnonzero(~blank)
+        for i in range(0, len(lined), at_once):
+            some = lined[i : i + at_once]
+            text = "\n" + "\n".join([parts[k] for k in some.tolist()])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            cuts = np.flatnonzero(ids == feed[0])
+            if len(feed) != 1 or len(cuts) != len(some):
+                blank[some] = True
+                continue
+            begins[some] = held + cuts + 1
+            sizes[some] = np.diff(cuts, append=len(ids)) - 1
+            flat.append(ids)
+            held += len(ids)
+        for k in np.flatnonzero(blank).tolist():
+            ids = self.whole(parts[k])
+            begins[k], sizes[k] = held, len(ids)
+            flat.append(ids)
+            held += len(ids)
+        return np.concatenate(flat), begins, sizes
+
+    def forget(self) -> None:
+        """Empty the parts known so far. Each has a number; its ids stand in ``flat`` from ``begins``, ``sizes`` of them."""
+        count = itertools.count()
+        self.after_space, self.first, self.other = (defaultdict(count.__next__) for _ in range(3))
+        self.known = 0
+        self.flat, self.begins, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.feed = self.other["\n"]
+
+    def learn(self) -> None:
+        """Encode the parts that have numbers but no ids. A full stop or comma after a letter or digit is always a part of its own."""
+        kinds = ((self.after_space, " "), (self.first, ""), (self.other, ""))
+        n = sum(len(k) for k, _ in kinds)
+        names = [""] * (n - self.known)
+        for kind, lead in kinds:
+            for part in itertools.islice(reversed(kind.items()), len(kind)):
+                if part[1] < self.known:
+                    break
+                names[part[1] - self.known] = lead + part[0]
+        marked = np.array([w[-1:] in (",", ".") and w[-2:-1].isalnum() for w in names], dtype=bool)
+        bases: dict[str, int] = {}
+        base = np.array([bases.setdefault(w[:-1] if m else w, len(bases)) for w, m in zip(names, marked.tolist(), strict=True)], dtype=np.int64)
+        flat, begins, sizes = self.parts(list(bases))
+        begins, sizes = begins[base], sizes[base] + marked
+        ends = np.cumsum(sizes)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
+        mark = np.zeros(len(out), dtype=bool)
+        mark[ends[marked] - 1] = True
+        out[~mark] = gather_at(flat, begins, sizes - marked)
+        signs = {m: int(self.whole(m)[0]) for m in ",."}
+        out[mark] = [signs[w[-1]] for w, m in zip(names, marked.tolist(), strict=True) if m]
+        self.begins = np.concatenate((self.begins, ends - sizes + len(self.flat)))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.flat = np.concatenate((self.flat, out))
+        self.known = n
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.known > self.most:
+            self.forget()
+        coded: list[np.ndarray] = []
+        first, after_space, other, feed = self.first, self.after_space, self.other, self.feed
+        for text in texts:
+            if not self.apart or any(t in text for t in self.added):
+                coded.append(self.whole(text))
+            elif len(text.split()) == 1 + text.count(" ") + text.count("\n"):
+                row: list[int] = []
+                for line in text.split("\n"):
+                    words = line.split(" ")
+                    row.append(first[words[0]])
+                    row += map(after_space.__getitem__, words[1:])
+                    row.append(feed)
+                coded.append(np.array(row[:-1], dtype=np.int64))
+            else:
+                coded.append(np.array(list(map(other.__getitem__, self.split.findall(text))), dtype=np.int64))
+        self.learn()
+        return [c if c.dtype == np.uint32 else gather_at(self.flat, self.begins[c], self.sizes[c]) for c in coded]
+
+
+@lru_cache(maxsize=1)
+def coder_of(path: str, pattern: str) -> Coder:
+    """One for all tasks of a Python process."""
+    return Coder(path, pattern)
+
+
+def gather_at(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[begins[i] : begins[i] + sizes[i]] of all i on end."""
+    ends = np.cumsum(sizes)
+    shift = np.repeat(begins - ends + sizes, sizes)
+    return flat[np.arange(len(shift)) + shift]
+
+
 def write_bytes(folder: str, name: str, data: bytes) -> str:
     """Write under a name of this attempt, then move: a task run twice or lost leaves whole files only."""
     from pyarrow import fs
@@ -95,8 +232,9 @@ def write_bytes(folder: str, name: str, data: bytes) -> str:
 
 
 def write_tokens(
-    docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 0, block: int = 8192, file_ids: int = 4_000_000, n_ranges: int | None = None,
+    docs: DataFrame, tokenizer_path: str, pattern: str, folder: str, id_col: str = "doc_id", text_col: str = "text",
+    end_id: int = 0, block: int = 8192, file_ids: int = 2_000_000, n_ranges: int | None = None,
+    block_chars: int = 8_000_000,
 ) -> DataFrame:
     """Write the ids of all texts in ascending id order; rows (range, file, path, n_docs, n_ids), one a file.
 
@@ -114,34 +252,30 @@ def write_tokens(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).where("id is not null")
     n = n_ranges or parallelism(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, "id", "t").sortWithinPartitions("id", "t")
+    ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "t")
     schema = pa.schema([("range", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        bits, part = bits_for(tokenizer.get_vocab_size()), TaskContext.get().partitionId()
+        coder = coder_of(tokenizer_path, pattern)
+        bits, part = bits_for(coder.tokenizer.get_vocab_size()), TaskContext.get().partitionId()
         keys, lists, held, number = [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             path = write_bytes(folder, f"{part:06d}-{number:06d}.tok", to_bytes(keys, lists, bits, block))
             return pa.RecordBatch.from_pylist([{"range": part, "file": number, "path": path, "n_docs": len(keys), "n_ids": held}], schema=schema)
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(ids), 100):
-                coded = tokenizer.encode_batch_fast(texts[i : i + 100], add_special_tokens=False)
-                for key, x in zip(ids[i : i + 100], coded, strict=True):
-                    row = np.array([*x.ids, end_id], dtype=np.uint32)
-                    if keys and held + len(row) > file_ids:
-                        yield close()
-                        keys, lists, held, number = [], [], 0, number + 1
-                    keys.append(key)
-                    lists.append(row)
-                    held += len(row)
+        for ids, texts in blocks(batches, block_chars):
+            for key, row in zip(ids, coder.encode(texts), strict=True):
+                row = np.append(row, np.uint32(end_id))
+                if keys and held + len(row) > file_ids:
+                    yield close()
+                    keys, lists, held, number = [], [], 0, number + 1
+                keys.append(key)
+                lists.append(row)
+                held += len(row)
         if keys:
             yield close()
 
@@ -187,5 +321,5 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.common import stored
 
     folder = new_path(spark, "tokens")
-    written = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    written = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, folder)
     return read_tokens(spark, stored(written, "token-files"))
