@@ -191,7 +191,7 @@ class Coder:
         for text in texts:
             if not self.apart or any(t in text for t in self.added):
                 coded.append(self.whole(text))
-            elif len(text.split()) == 1 + text.count(" ") + text.count("\n"):
+            elif single_blanks(text):
                 row: list[int] = []
                 for line in text.split("\n"):
                     words = line.split(" ")
@@ -205,6 +205,12 @@ class Coder:
         return [c if c.dtype == np.uint32 else gather_at(self.flat, self.begins[c], self.sizes[c]) for c in coded]
 
 
+def single_blanks(text: str) -> bool:
+    """If each blank is one space or line feed between other characters."""
+    spaced = text.replace("\n", " ")
+    return " ".join(spaced.split()) == spaced
+
+
 @lru_cache(maxsize=1)
 def coder_of(path: str, pattern: str) -> Coder:
     """One for all tasks of a Python process."""

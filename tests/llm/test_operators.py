@@ -193,6 +193,17 @@ def test_token_files_equal_library(spark, odd, empty, tmp_path):
     assert token_files.read_tokens(spark, w.cache()).count() == 0
 
 
+def test_coder_equals_library_where_blanks_balance():
+    """As many blanks too many in one place as other separators than spaces and line feeds elsewhere."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, t = token_files.Coder(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    texts = ["x\n\n\ny\tz\tw", "Intro\n\n\nNext\tcol\tend", "a  b\rc", "a\n\nb\u00a0c", " a\tb", "a\tb\n", "a\x1cb  c", "a\u3000b\n\nc", "a b\nc d"]
+    rng = np.random.default_rng(8)
+    texts += ["".join(rng.choice(list("ab.,7é \n\t\r\x0b\x1c\x85\u00a0\u2003\u3000"), rng.integers(1, 12))) for _ in range(5000)]
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 # 5: BPE
 
 
