@@ -137,6 +137,29 @@ def test_sections_and_log(spark):
     assert parse_log(spark.createDataFrame(list(LOG), "n int, tool string, line string")).where("message like '%declared here'").count() == 1
 
 
+def test_sections_of_long_texts(spark, tmp_path):
+    """Against a loop over the lines: texts below, at and far above 4000 characters, none at all, and many headings."""
+    import re
+
+    from quarry.operators.texts import markdown_sections
+
+    long = "before\n" + "".join(f"The {i}. Head, of {i}!\n" + f"  line {i}\n\n" * (i % 7) for i in range(3000))
+    texts = ["The a\nb", "x" * 3995 + "\nThe", "The b\n" + "y" * 4000, "The end\n" + "z\n" * 9000 + "The last", long, "no heading", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, text in enumerate(texts):
+        found = []
+        for line in (text or "").split("\n"):
+            if line.startswith("The "):
+                found.append((line, []))
+            elif found and line.strip(" "):
+                found[-1][1].append(line.strip(" "))
+        slug = lambda x: re.sub("^-|-$", "", re.sub("[^a-z0-9]+", "-", x[:40].lower()))
+        want += [(i, k + 1, slug(title), " ".join(body[:4])[:500]) for k, (title, body) in enumerate(found)]
+    got = markdown_sections(spark, str(tmp_path)).collect()
+    assert len(want) == 3004 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_mentions(spark):
     t = spark.createDataFrame([(1, "see src/a.ts and b"), (2, "nothing"), (3, None)], "id long, text string")
     n = spark.createDataFrame([(7, "src/a.ts"), (8, "no")], "name_id long, name string")
