@@ -119,7 +119,7 @@ SELECT src, dst, count(*) OVER (PARTITION BY dst) AS external_refs FROM p""")
 def cross_language_refs(spark: SparkSession, d: str) -> DataFrame:
     """Symbols of one name and zone in two language families, the second one exported."""
     family = F.when(F.col("p_type").isin("STANDARD", "SMALL"), "c").when(F.col("p_type") == "MEDIUM", "rust").otherwise("zig")
-    s = table(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", family.alias("family"), (F.col("p_size") % 5 == 0).alias("exported"))
+    s = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", family.alias("family"), (F.col("p_size") % 5 == 0).alias("exported"))
     b = s.where("exported").select(F.col("id").alias("dst"), "p_name", "p_brand", F.col("family").alias("other"))
     p = s.join(b, ["p_name", "p_brand"]).where("family <> other").select(F.col("id").alias("src"), "dst")
     n = p.groupBy("dst").agg(F.count(F.lit(1)).alias("external_refs"))

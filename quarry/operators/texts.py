@@ -102,6 +102,6 @@ _STAGE_SQL = " + ".join(f"bool_or(regexp_matches(t, '{r}'))::INT" for r in STAGE
 def phase_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Zones whose names and paths show two stages of work or more."""
     docs = table(spark, d, "documents")
-    s = docs.select(F.col("source").alias("zone"), F.lower(F.left("text", F.lit(400))).alias("t")).union(docs.select("source", "lang"))
+    s = docs.select(F.col("source").alias("zone"), F.lower("text").alias("t")).union(docs.select("source", "lang"))
     n = sum((F.bool_or(F.col("t").rlike(r)).cast("int") for r in STAGES), F.lit(0))
     return s.groupBy("zone").agg(n.alias("stages")).where("stages >= 2")

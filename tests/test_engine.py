@@ -160,6 +160,51 @@ def test_sections_of_long_texts(spark, tmp_path):
     assert len(want) == 3004 and sorted(map(tuple, got)) == sorted(want)
 
 
+def test_graphs_of_whole_tables(spark, tmp_path):
+    """Against brute force on tables of which the former filters on ids, sizes and first characters kept nothing or too little."""
+    from quarry.operators import graph, reports, symbols, texts
+
+    part = [(i, f"n{i % 4}", f"Brand#{i % 3}", ["SMALL", "MEDIUM", "PROMO"][i % 5 % 3], 5 + 5 * (i % 7)) for i in range(1, 40)]
+    orders = [(i, i % 4, "O" if i % 3 else "F") for i in range(1, 16)]
+    line = [(o, n, (o * 5 + n * 4) % 39 + 1, 48.0 if n % 2 else 3.0, "N" if o % 2 else "R") for o, _, _ in orders for n in (1, 2, 3)]
+    docs = [(1, "s1", "en", "Alpha Head\nsmall\nAlpha Head\nsee the Name of it"), (2, "s1", "fr", "x" * 500 + " parser\nBeta"), (10, "s2", "en", "x" * 500 + " loading"), (11, "s3", "en", "q" * 900 + " load lexer")]
+    names = [(7, "the Name"), (8, "none such")]
+    for name, rows_, schema in (
+        ("part", part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"), ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string"),
+        ("lineitem", line, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string"),
+        ("documents", docs, "doc_id long, source string, lang string, text string"), ("benchmark", names, "item_id long, text string"),
+    ):
+        spark.createDataFrame(rows_, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda f, *cols: sorted(map(tuple, f(spark, str(tmp_path)).select(*cols).collect()))
+
+    doc = {i: f"doc:{zone}/{i}.md" for i, zone, _, _ in docs}
+    want = {("repo:.", x, "documents") for x in doc.values()} | {(doc[i], f"unit:{k}", "mentions") for i, _, _, t in docs for k, n in names if n in t}
+    want |= {(doc[i], f"doc_section:{doc[i]}#{x[:20].lower().replace(' ', '-')}", "contains") for i, _, _, t in docs for x in t.split("\n") if x[:1].isupper()}
+    assert run(reports.markdown_graph, "src", "dst", "kind") == sorted(want) and len(want) == 7
+
+    want = {(f"issue:{a}", f"issue:{b}", "depends-on", 1.0) for a, c, _ in orders for b, e, _ in orders if c == e and a > b}
+    want |= {(f"issue:{o}", f"unit:{f}", "tracked-by", 2.0 if orders[o - 1][2] == "O" else 1.0) for o, _, f, _, _ in line}
+    assert run(reports.issue_graph, "src", "dst", "kind", "weight") == sorted(want)
+
+    held = {o: {x[2] for x in line if x[0] == o} for o, _, _ in orders}
+    seed = min(set.union(*held.values()))
+    want = [(f, n) for f in range(1, 40) if f != seed and (n := sum(seed in s and f in s for s in held.values()))]
+    assert run(reports.related_by_issue, "file", "issues") == want and want
+
+    zone = {p[0]: p[2] for p in part}
+    reach = {(zone[a[2]], zone[b[2]]) for a in line for b in line if a[0] == b[0] and b[1] == a[1] + 1 and a[3] >= 47 and a[4] == "N" and zone[a[2]] != zone[b[2]]}
+    for _ in range(3):
+        reach |= {(a, d) for a, b in reach for c, d in reach if b == c}
+    mutual = sorted({frozenset(y for x, y in reach if x == z and (y, z) in reach) for z in zone.values() if (z, z) in reach}, key=min)
+    assert run(graph.zone_cycles, "component", "scc_size", "members") == [(min(m), len(m), ",".join(sorted(m))) for m in mutual] and mutual
+
+    family = {"SMALL": "c", "MEDIUM": "rust", "PROMO": "zig"}
+    pairs = [(a[0], b[0]) for a in part for b in part if a[1:3] == b[1:3] and family[a[3]] != family[b[3]] and b[4] % 5 == 0]
+    assert run(symbols.cross_language_refs, "src", "dst", "external_refs") == sorted((a, b, sum(y == b for _, y in pairs)) for a, b in pairs) and pairs
+
+    assert run(texts.phase_boundaries, "zone", "stages") == [("s1", 2), ("s3", 2)]
+
+
 def test_mentions(spark):
     t = spark.createDataFrame([(1, "see src/a.ts and b"), (2, "nothing"), (3, None)], "id long, text string")
     n = spark.createDataFrame([(7, "src/a.ts"), (8, "no")], "name_id long, name string")
