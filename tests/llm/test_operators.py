@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import bpe, common, decontaminate, embedding_dedup, html_text, license_scan, line_dedup, near_dedup, sharding, token_files, toxicity
@@ -314,6 +315,28 @@ def test_decontamination_finds_copies_and_paraphrases(spark, odd, empty):
     assert decontaminate.find_contamination(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_at_all_offsets(spark):
+    """Items with two words in five replaced, that keep enough of the answer, at each offset to the windows."""
+    items = [" ".join(words(20 + 2 * k, 900 + k)) for k in range(15)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = docs(spark, [" ".join(words(150, 5000 + i)) for i in range(120)]).selectExpr("doc_id AS id", "text").select("id", decontaminate.words_of(F.col("text")).alias("w")).cache()
+    space = decontaminate.fit_space(rows, bench, "item_id", "text")
+    search = decontaminate.Searcher(space)
+    host = np.concatenate([np.array(r["w"], dtype=np.int32) for r in rows.orderBy("id").limit(4).collect()])
+    tried = found = 0
+    for k, w in enumerate(space.words):
+        n = np.arange(len(w))
+        passage = np.where(np.isin(n % 5, (1, 3)), 70_000 + n, w)
+        answer = search.answers[k]
+        left = decontaminate.subsequence(search.answer_masks[k], len(answer), passage.tolist())
+        if (np.isin(n % 5, (1, 3))).mean() > 0.4 or left < decontaminate.MIN_ANSWER * len(answer):
+            continue
+        for offset in range(100, 100 + decontaminate.window_of(len(w)) * decontaminate.STEP):
+            got = search.hits(np.concatenate((host[:offset], passage, host[offset:])).astype(np.int32))
+            tried, found = tried + 1, found + any(x[0] == k for x in got)
+    assert tried == found == 156
+
+
 def test_subsequence_equals_table():
     rng = np.random.default_rng(6)
     for _ in range(100):
