@@ -15,8 +15,8 @@ from quarry.llm.common import components, stored, table, text_or_empty
 SIZE, BAND = 96, 4  # coordinates of a signature, of 16 bits each, and of a band
 WORDS = 5
 MIN_SIMILARITY = 0.8
-#: Pairs whose signatures agree less than this much (3.1 standard errors under 0.8) aren't compared word by word.
-MIN_ESTIMATE = 0.675
+#: Pairs whose signatures agree less than this much, in 58 of 96 coordinates, aren't compared word by word: a pair at 0.8 has less with a probability of 3e-6.
+MIN_ESTIMATE = 0.6
 SMALL = 12  # members of a bucket whose pairs are listed
 BLOCK = 1024  # members of a larger bucket that meet in one task
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -276,6 +277,14 @@ def test_blocks_find_links(spark):
     assert sorted(map(tuple, near_dedup.within_blocks(spark.createDataFrame(rows, schema)).collect())) == [(0, 1), (2, 3)]
 
 
+def test_estimate_misses_no_more_than_bands():
+    """The joint miss of a pair at 0.8: the bands' 3.2e-6 and, by the binomial, the least agreement's."""
+    n, p = near_dedup.SIZE, near_dedup.MIN_SIMILARITY
+    bands = (1 - p**near_dedup.BAND) ** (n // near_dedup.BAND)
+    least = math.ceil(near_dedup.MIN_ESTIMATE * n)
+    assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(least)) < bands < 4e-6
+
+
 def test_near_duplicates_edges(spark, odd, empty):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(odd).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6, 7: 7}
