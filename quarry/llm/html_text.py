@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table, text_or_empty
 
+#: A quote opens a value only after an equals sign; anywhere else it is a character like others.
 PART = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S
 )
-ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SPACE = re.compile(r"\s+")
 
@@ -37,6 +38,16 @@ NOISE = frozenset(
     "navigation menu menus breadcrumb breadcrumbs crumbs pagination pager paginator header masthead topbar footer foot footnav colophon comment comments commentlist disqus reply replies "
     "respond share sharing social related recommended recommendations widget widgets toolbar search form skip".split()
 )
+#: Words that may well stand in the names of an article's own parts, such as related-work: they tell of a part of the layout only
+#: where all words of the name do, and never, in an article, of a paragraph or another element of text.
+WEAK = frozenset(
+    "skip rail share sharing social related recommended recommendations notice notices alert banner banners popup modal overlay widget widgets toolbar "
+    "reply replies respond header search form topbar masthead footer menu menus signup login signin subscription promotion".split()
+)
+LAYOUT = frozenset(
+    "posts post links link list lists items item button buttons bar box icon icons articles article stories block wrap wrapper container section area content inner outer "
+    "main site page top bottom left right row col column head title more also you may like us on the to by by via email facebook twitter print".split()
+)
 #: An article has a header of its own.
 ARTICLE_NOISE = NOISE - {"header", "search", "form"}
 #: A name with such a word tells what a page has, as in has-sidebar.
@@ -54,6 +65,15 @@ SCOPE = frozenset("ul ol dl table div section article main body html td th aside
 P_SCOPE = SCOPE - {"ul", "ol", "dl"} | {"li"}
 
 
+def names_noise(token: str, noise: frozenset[str], textual: bool) -> bool:
+    """If one name of a class or an id tells that an element is no part of an article."""
+    words = {w.lower() for w in NAME_PART.findall(token)}
+    found = words & noise
+    if not found or words & ABOUT:
+        return False
+    return bool(found - WEAK) or not textual and words <= NOISE | LAYOUT
+
+
 def is_noise(tag: str, raw_attrs: str, in_article: bool) -> bool:
     """If an element is no part of an article by its name, role, class, id or being hidden."""
     if tag in DROPPED or (tag == "header" and not in_article):
@@ -68,10 +88,8 @@ def is_noise(tag: str, raw_attrs: str, in_article: bool) -> bool:
             return True
         if name in ("class", "id"):
             noise = KEPT_NOISE if tag in KEPT else ARTICLE_NOISE if in_article else NOISE
-            for token in value.split():
-                words = {w.lower() for w in NAME_PART.findall(token)}
-                if words & noise and not words & ABOUT:
-                    return True
+            if any(names_noise(token, noise, in_article and tag in TEXTUAL) for token in value.split()):
+                return True
     return False
 
 
@@ -85,7 +103,7 @@ class Tree:
         self._links, self._owner = 0, 0
         self._open = [0]
         self._article, self._link = 0, 0
-        at, low = 0, None
+        at = 0
         while m := PART.search(page, at):
             self._text(page[at : m.start()])
             at = m.end()
@@ -99,9 +117,9 @@ class Tree:
                 attrs = m["attrs"]
                 self._start(tag, attrs)
                 if tag in RAW:
-                    low = low or page.lower()
-                    end = low.find(f"</{tag}", at)
-                    at = len(page) if end < 0 else end
+                    # On the page itself: a page in lower case can be longer.
+                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I | re.A).search(page, at)
+                    at = end.start() if end else len(page)
                 elif tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "span", "em", "strong"):
                     self._pop()
         self._text(page[at:])
@@ -206,6 +224,16 @@ def best_container(tree: Tree) -> tuple[int, list[float], list[float]]:
     return best, scores, density
 
 
+#: A whole sentence, but for a copyright notice.
+SAID = re.compile(r"^(?!\W*(?:©|\(c\)|copyright)).*[.!?…:][\"'»”’)]*$", re.I | re.S)
+
+
+def inside(tree: Tree, e: int, container: int) -> bool:
+    while e > container:
+        e = tree.parent[e]
+    return e == container
+
+
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by line feeds; empty if there is none."""
     tree = Tree(page)
@@ -217,11 +245,20 @@ def main_text(page: str) -> str:
     kept[best] = True
     if best and tree.tag[best] not in ("article", "main", "body", "html"):
         least = max(10.0, scores[best] * 0.2)
-        size = [0] * n
+        size, texts = [0] * n, [""] * n
         for owner, text, _ in tree.runs:
             size[owner] += len(text)
+            texts[owner] = text
+        within, up = [False] * n, best
+        while up > 0:
+            up = tree.parent[up]
+            within[up] = True
+        own_head = any(tree.tag[owner] == "h1" and inside(tree, owner, best) for owner, _, _ in tree.runs)
         for e in range(1, n):
-            if tree.parent[e] == tree.parent[best] and (scores[e] >= least or tree.tag[e] in TEXTUAL and density[e] < 0.25 and size[e] > 80):
+            if tree.parent[e] == tree.parent[best]:
+                kept[e] |= scores[e] >= least or tree.tag[e] in TEXTUAL and density[e] < 0.25 and (size[e] > 80 or SAID.search(texts[e]) is not None)
+            # The headline may stand before the container, or before one that holds it.
+            if tree.tag[e] == "h1" and e < best and within[tree.parent[e]] and not own_head and density[e] < 0.5:
                 kept[e] = True
     for e in range(1, n):
         kept[e] = kept[e] or kept[tree.parent[e]]
@@ -234,12 +271,13 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
     Paragraphs pass points for length and commas to their ancestors, halved
     at each step; an element's points are discounted by the share of link
     text in it. The element with the most points, or the article element
-    that holds it, is kept with its like siblings, less menus, notices and
-    other parts that aren't the article. Each task parses its pages one at a
+    that holds it, is kept with its like siblings, sentences and headlines
+    beside it, less menus, notices and other parts that aren't the article. Each task parses its pages one at a
     time, in time linear in the page but for its depth.
 
     A null or empty page, and one without article text, has an empty text.
-    Repeated rows stay. Broken markup is read as far as it goes.
+    Repeated rows and null keys stay. Broken markup is read as far as it
+    goes. Other columns are ignored.
     """
     names = [f"k{i}" for i in range(len(keep))]
 
@@ -257,4 +295,5 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (page_id, url, text, n_chars), one for each row of ``pages``; see ``extract_text`` for nulls, repeats and broken pages."""
     return extract_text(table(spark, sf_dir, "pages"))
