@@ -68,7 +68,9 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 300,
     """Sentence weights by gradient descent (Adam) on the documents' noisy-or log loss.
 
     A document is toxic with probability 1 - prod(1 - p) over its sentences,
-    p the logistic of the sum of its distinct features' weights. Features in
+    p the logistic of the sum of its distinct features' weights, and 0 for a
+    sentence without any weighted feature: else a text would be the more toxic
+    the longer it is. Features in
     fewer than ``min_docs`` documents, and those whose shares of toxic and of
     other documents differ by less than ``min_z`` standard errors, stay at 0:
     else a small sample would be learnt by heart. Texts without a sentence are
@@ -99,7 +101,8 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 300,
     if not used.any():
         return Model(weights.astype(np.float32), float(np.log(share / (1 - share))))
     names, cols = np.unique(cols[used], return_inverse=True)
-    rows = rows[used]
+    told, rows = np.unique(rows[used], return_inverse=True)  # sentences with a feature
+    doc, n = doc[told], len(told)
     held = np.unique(doc)
     y = labels[held].astype(float)
     doc = np.searchsorted(held, doc)
@@ -130,10 +133,13 @@ def train(
     """Fit on a bounded sample of the labelled rows given: half of either label where there are enough.
 
     ``max_docs`` documents and ``max_chars`` characters bound the sample, of
-    which the driver holds the texts; the rows with the smallest hashes of
-    their ids are taken. Rows whose label is null or not 0 or 1, whose id is
-    null or whose text is null or empty are no examples. If an id has two
-    labels, the larger holds.
+    which the driver holds the texts: first only the lengths of at most
+    ``max_docs`` rows with the smallest hashes of their ids are read, then
+    the texts of those that fit, in the order of another hash. Rows whose
+    label is null or not 0 or 1, whose id is null or whose text is null or
+    empty are no examples. If an id has two labels, the larger holds; of
+    several texts of an id the shortest counts, the smallest hash on ties.
+    Without any example the model scores all texts low.
     """
     marked = labels.where(f"`{label_col}` in (0, 1)").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t <> '' and id is not null")
@@ -142,14 +148,19 @@ def train(
     for y in (0, 1):
         part = marked.where(F.col("y") == y).orderBy(order, "id").limit(max_docs // 2)
         chosen = part if chosen is None else chosen.union(part)
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "t", "y")
-    got = sorted(rows.toLocalIterator(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["t"]))
+    version = F.struct(F.char_length("t").alias("n"), F.xxhash64("t").alias("v")).alias("x")
+    sizes = texts.join(F.broadcast(chosen), "id").select("id", "y", version).groupBy("id", "y").agg(F.min("x").alias("x")).select("id", "y", "x.*")
     held, taken = 0, []
-    for r in got:
-        if held + len(r["t"]) <= max_chars:
-            taken.append(r)
-            held += len(r["t"])
-    return fit([r["t"] for r in taken], np.array([r["y"] for r in taken], dtype=int))
+    for r in sorted(sizes.collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"])):  # max_docs rows without texts
+        if held + r["n"] <= max_chars:
+            taken.append((r["id"], r["y"], r["v"]))
+            held += r["n"]
+    if not taken:
+        return fit([], np.array([], dtype=int))
+    wanted = docs.sparkSession.createDataFrame(taken, f"id {dict(texts.dtypes)['id']}, y int, v long")
+    rows = texts.withColumn("v", F.xxhash64("t")).join(F.broadcast(wanted), ["id", "v"]).groupBy("id", "y").agg(F.min("t").alias("t"))
+    got = {r["id"]: r["t"] for r in rows.toLocalIterator()}
+    return fit([got[k] for k, _, _ in taken], np.array([y for _, y, _ in taken], dtype=int))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -187,7 +198,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                             if len(heavy) > 150_000:
                                 heavy.clear()
                         seen.update(f)
-                    s = bias + sum(weights[x] for x in seen) if seen else bias
+                    s = bias + sum(weights[x] for x in seen) if seen else -100.0  # a score of 0
                     keep -= np.logaddexp(0, s) if s > -30 else 0.0
                     if s > best or span[0] is None:
                         best, span = s, (a, b)
@@ -222,6 +233,7 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, held_out, score, predicted) and the worst sentence, one for each row of ``documents``; see ``score`` for nulls and repeats."""
     docs = table(spark, sf_dir, "documents")
     done = score(docs, trained(spark, docs, sf_dir))
     return done.select("doc_id", held_out().alias("held_out"), "score", "predicted", "worst_start", "worst_end", "worst_score", "n_offending")
