@@ -269,6 +269,7 @@ def bpe_round_trip(
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), one for each row of ``documents``; null texts are empty, repeated and null ids stay."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -16,13 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a temporary folder
-    is made and set.
+    Only where the session has none and runs on one machine, as in tests, a
+    temporary folder is made and set. A cluster without one is an error: its
+    executors would each write to a folder that nobody else sees.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="quarry-")
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
     return f"file://{made}"
@@ -32,11 +35,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with replicated storage, so a lost executor costs only
-    its running tasks. Used where two later steps need the same rows.
+    its running tasks. Used where two later steps need the same rows. A
+    table lives until the folder is emptied, as results are lazy and may
+    still read it, unless its caller knows better and calls ``drop``.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table of a frame that ``stored`` returned. Nothing may read it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -58,7 +72,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each step sends a node's edges to the smallest neighbour, with the
     minimum as a pre-aggregated ``min`` and a join whose hot keys Spark can
     split, so neither a hub nor a long chain meets in one task. Stops when
-    the edge set no longer changes. Edges touching nulls are ignored.
+    the edge set no longer changes; a round's table goes when the next is
+    written. Edges touching nulls are ignored.
     """
     spark = edges.sparkSession
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
@@ -73,6 +88,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
+        old = e
         e = stored(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(down.select("a", F.col("m").alias("b")))
@@ -80,6 +96,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct(),
             "edges",
         )
+        drop(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

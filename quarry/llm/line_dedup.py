@@ -64,6 +64,7 @@ def dedup_lines(
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, n_lines, n_dropped, kept_sha256), one for each row of ``documents``; see ``dedup_lines`` for nulls, ties and repeats."""
     done = dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
