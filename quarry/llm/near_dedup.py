@@ -18,7 +18,7 @@ MIN_SIMILARITY = 0.8
 #: Pairs whose signatures agree less than this much, in 58 of 96 coordinates, aren't compared word by word: a pair at 0.8 has less with a probability of 3e-6.
 MIN_ESTIMATE = 0.6
 SMALL = 12  # members of a bucket whose pairs are listed
-BLOCK = 1024  # members of a larger bucket that meet in one task
+BLOCK, BLOCK_WORDS = 1024, 4_000_000  # members of a larger bucket, and words of theirs, that meet in one task
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,8 +35,8 @@ def words_of(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != ""), lambda x: F.hash(x))
 
 
-def shingles(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, shingle key) of the distinct shingles of texts given as word hashes on end.
+def shingles(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, shingle key, times) of the different shingles of texts given as word hashes on end.
 
     A text of fewer words than a shingle has all of its words as its only one.
     """
@@ -59,7 +59,8 @@ def shingles(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     of, key = of[order], key[order]
     first = np.ones(len(key), dtype=bool)
     first[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
-    return of[first], key[first]
+    at = np.flatnonzero(first)
+    return of[at], key[at], np.diff(at, append=len(key))
 
 
 def dart_signatures(of: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
@@ -114,7 +115,7 @@ def dart_signatures(of: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int,
 
 
 def sign(rows: DataFrame) -> DataFrame:
-    """Rows (id, g, n, sig, low) of rows (id, g, w): n distinct shingles; no row where there are none.
+    """Rows (id, g, n, sig, low) of rows (id, g, w): n shingles, weighted by how often each occurs; no row where there are none.
 
     ``low`` is the low byte of each coordinate, for estimates: two values
     agree by chance once in 256.
@@ -130,9 +131,9 @@ def sign(rows: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 words = part.column(2)
                 offsets = words.offsets.to_numpy()
-                of, key = shingles(words.values.to_numpy(), offsets)
-                n = np.bincount(of, minlength=b - a)
-                sig = dart_signatures(of, key, np.ones(len(of)), b - a)
+                of, key, times = shingles(words.values.to_numpy(), offsets)
+                n = np.bincount(of, weights=times, minlength=b - a).astype(np.int32)
+                sig = dart_signatures(of, key, times.astype(float), b - a)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], schema=schema
                 ).filter(pa.array(n > 0))
@@ -166,14 +167,14 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 sets = [shingles(part.column(k).values.to_numpy(), part.column(k).offsets.to_numpy()) for k in (2, 3)]
-                (oa, ka), (ob, kb) = sets
                 n = part.num_rows
-                of, key = np.concatenate((oa, ob)), np.concatenate((ka, kb))
+                of, key, times = (np.concatenate(x) for x in zip(*sets, strict=True))
+                total = np.bincount(of, weights=times, minlength=n)
                 order = np.lexsort((key, of))
-                of, key = of[order], key[order]
-                twice = of[1:][(key[1:] == key[:-1]) & (of[1:] == of[:-1])]
-                common = np.bincount(twice, minlength=n)
-                union = np.bincount(oa, minlength=n) + np.bincount(ob, minlength=n) - common
+                of, key, times = of[order], key[order], times[order]
+                twice = (key[1:] == key[:-1]) & (of[1:] == of[:-1])
+                common = np.bincount(of[1:][twice], weights=np.minimum(times[1:], times[:-1])[twice], minlength=n)
+                union = total - common
                 yield part.select([0, 1]).filter(pa.array(common >= MIN_SIMILARITY * union))
 
     return both.mapInArrow(run, "a long, b long")
@@ -192,9 +193,9 @@ def within_blocks(rows: DataFrame) -> DataFrame:
         n, ids = pdf["n"].to_numpy(), pdf["id"].to_numpy()
         _, group = np.unique(pdf["c"].to_numpy(), return_inverse=True)
         lists = pdf["w"].to_numpy()
-        of, key = shingles(np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists]))))
+        of, key, times = shingles(np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists]))))
         cut = np.searchsorted(of, np.arange(len(pdf) + 1))
-        sets = [key[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        sets = [(key[x:y], times[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
         first = int((pdf["side"] == 0).sum())
         both = first < len(pdf)
         found = []
@@ -205,8 +206,9 @@ def within_blocks(rows: DataFrame) -> DataFrame:
             agree = (low[may] == low[k]).mean(axis=1)
             for m in may[agree >= MIN_ESTIMATE][np.argsort(-agree[agree >= MIN_ESTIMATE], kind="stable")]:
                 if group[m] != group[k]:
-                    common = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
-                    if common >= MIN_SIMILARITY * (len(sets[k]) + len(sets[m]) - common):
+                    _, x, y = np.intersect1d(sets[k][0], sets[m][0], assume_unique=True, return_indices=True)
+                    common = np.minimum(sets[k][1][x], sets[m][1][y]).sum()
+                    if common >= MIN_SIMILARITY * (n[k] + n[m] - common):
                         found.append((min(ids[k], ids[m]), max(ids[k], ids[m])))
                         group[group == group[m]] = group[k]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -217,9 +219,11 @@ def within_blocks(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, copy_of, class_id, n_shingles, kept), one for each id.
 
-    Documents are linked if the sets of their five-word shingles have a
-    Jaccard similarity of 0.8 or more; a class is a connected component of
-    links, its id the smallest in it, and the one kept is that one.
+    Documents are linked if their five-word shingles, weighted by how often
+    each occurs, have a Jaccard similarity of 0.8 or more (the sum of the
+    smaller weights, by that of the larger); a class is a connected
+    component of links, its id the smallest in it, and the one kept is that
+    one.
 
     1. Each text gets a dart signature in one pass. Equal texts become one
        representative by a pre-aggregated minimum (``copy_of``).
@@ -231,8 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. In buckets where members of several components remain, a second star
        starts from the smallest id of another component than the first's.
        Then what still differs is held against each other: the pairs of a
-       bucket of at most 12, and larger ones in blocks of about 1024, in
-       whose tasks they are checked exactly and only links that join two
+       bucket of at most 12, and larger ones in blocks of about 1024 members
+       and four million words, in whose tasks they are checked exactly and only links that join two
        components are given. So no link is lost through step 2, and no step
        lists the pairs of a large group.
 
@@ -250,13 +254,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sequence(F.lit(0), F.lit(SIZE // BAND - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * BAND * 2 + 1, F.lit(BAND * 2))),
     )
-    buckets = reps.select("id", F.explode(bands).alias("key"))
+    buckets = reps.select("id", "n", F.explode(bands).alias("key"))
     shared = buckets.groupBy("key").agg(
-        F.min("id").alias("star"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum")
+        F.min("id").alias("star"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("words"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum")
     ).where("members > 1")
     # Buckets of the same members are one bucket.
-    shared = shared.groupBy("star", "members", "sum").agg(F.min("key").alias("key"))
-    met = stored(buckets.join(shared.select("key", "star", "members").hint("merge"), "key"), "met")
+    shared = shared.groupBy("star", "members", "words", "sum").agg(F.min("key").alias("key"))
+    # A large bucket's blocks are of about as many members, and of about as many words.
+    blocks = F.greatest(F.ceil(F.col("members") * 1.2 / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    met = stored(buckets.select("id", "key").join(shared.select("key", "star", "members", blocks.alias("blocks")).hint("merge"), "key"), "met")
     signs = reps.select("id", "n", "low")
 
     def texts(ids: DataFrame) -> DataFrame:
@@ -270,12 +276,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def mixed(links: DataFrame) -> DataFrame:
         """Members, with their components c, of the buckets that hold several; ``star`` is the least id outside the first's."""
         found = stored(components(links), "components").select(F.col("node").alias("id"), "component")
-        known = met.join(found.hint("merge"), "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("c"))
+        known = met.join(found.hint("merge"), "id", "left").select("key", "id", "members", "blocks", F.coalesce("component", "id").alias("c"))
         known = stored(known, "known")
         ends = known.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
         rest = known.join(ends.hint("merge"), "key")
         star = rest.where("c <> c1").groupBy("key").agg(F.min("id").alias("star"))
-        return rest.join(star.hint("merge"), "key").select("key", "id", "members", "c", "star")
+        return rest.join(star.hint("merge"), "key").select("key", "id", "members", "blocks", "c", "star")
 
     links = checked(met.select(F.col("star").alias("a"), F.col("id").alias("b")))
     links = stored(links.union(checked(mixed(links).select(F.col("star").alias("a"), F.col("id").alias("b")))), "links")
@@ -283,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = rest.where(F.col("members") <= SMALL).select("key", "id", "c")
     pairs = small.join(small.select("key", F.col("id").alias("b"), F.col("c").alias("d")).hint("merge"), "key").where("id < b and c <> d")
     few = checked(pairs.select(F.col("id").alias("a"), "b"))
-    large = rest.where(F.col("members") > SMALL).withColumn("blocks", F.ceil(F.col("members") * 1.2 / BLOCK).cast("int"))
+    large = rest.where(F.col("members") > SMALL)
     large = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # Block b is side 0 of (b, j >= b) and side 1 of (i < b, b).
     placed = large.select("key", "id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
@@ -306,4 +312,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, copy_of, class_id, n_shingles, kept), one for each id of ``documents``; see ``near_duplicates`` for nulls, ties and repeats."""
     return near_duplicates(table(spark, sf_dir, "documents"))
