@@ -14,7 +14,7 @@ from quarry.llm.common import components, stored, table
 PROJECTIONS = 24
 WINDOW = 2.0  # half a window, in standard deviations of the difference of a pair at the threshold
 MAX_MISS = 1e-4  # of the pairs at the threshold; closer pairs are missed less often
-BLOCK = 2048  # vectors of a label that meet in one task
+BLOCK = 4096  # vectors of a label that meet in one task
 
 
 def needed_count(n: int = PROJECTIONS, window: float = WINDOW, max_miss: float = MAX_MISS) -> int:
@@ -32,17 +32,31 @@ def needed_count(n: int = PROJECTIONS, window: float = WINDOW, max_miss: float =
     return n
 
 
-def colliding(left: np.ndarray, right: np.ndarray, half: float) -> np.ndarray:
-    """How often each of the right values lies in the window of each left one, over the projections (columns)."""
-    counts = np.zeros((len(left), len(right)), dtype=np.uint8)
-    for p in range(left.shape[1]):
-        order = np.argsort(right[:, p], kind="stable")
-        line = right[order, p]
-        low = np.searchsorted(line, left[:, p] - half, "left")
-        high = np.searchsorted(line, left[:, p] + half, "right")
-        for q in np.flatnonzero(high > low):
-            counts[q, order[low[q] : high[q]]] += 1
-    return counts
+class Lines:
+    """The sorted projections of one side, as the rank of each of its vectors on each line."""
+
+    def __init__(self, lines: np.ndarray) -> None:
+        order = np.argsort(lines, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(lines, order, axis=0)
+        self.ranks = np.empty(lines.shape[::-1], dtype=np.uint16 if len(lines) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.ranks, order.T, np.arange(len(lines), dtype=self.ranks.dtype)[None, :], axis=1)
+
+    def collisions(self, queries: np.ndarray, half: float) -> np.ndarray:
+        """How often each vector lies in the window of each query, over the lines (columns).
+
+        A window is a range of ranks, found by bisection. A rank less the
+        range's begin is below the range's size inside, and wraps around to
+        a large number on the left of it.
+        """
+        counts = np.zeros((len(queries), self.ranks.shape[1]), dtype=np.uint8)
+        place, inside = np.empty(counts.shape, dtype=self.ranks.dtype), np.empty(counts.shape, dtype=bool)
+        for p, ranks in enumerate(self.ranks):
+            low = np.searchsorted(self.sorted[:, p], queries[:, p] - half, "left").astype(ranks.dtype)
+            high = np.searchsorted(self.sorted[:, p], queries[:, p] + half, "right").astype(ranks.dtype)
+            np.subtract(ranks[None, :], low[:, None], out=place)
+            np.less(place, (high - low)[:, None], out=inside)
+            counts += inside.view(np.uint8)
+        return counts
 
 
 def blocks_of(rows: DataFrame, min_cosine: float) -> DataFrame:
@@ -63,9 +77,10 @@ def blocks_of(rows: DataFrame, min_cosine: float) -> DataFrame:
         start = 0 if alone else first
         ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
         links, part, joins = np.zeros(len(pdf), dtype=np.int64), np.arange(len(pdf)), []
-        for a in range(0, first, 256):
-            b = min(first, a + 256)
-            counts = colliding(lines[a:b], lines[start:], half)
+        side = Lines(lines[start:])
+        for a in range(0, first, 128):
+            b = min(first, a + 128)
+            counts = side.collisions(lines[a:b], half)
             for q in range(a, b):
                 found = np.flatnonzero(counts[q - a] >= least) + start
                 found = found[found > q] if alone else found
@@ -95,7 +110,7 @@ def link_embeddings(
     Vectors of one label, not null, are linked at a cosine of ``min_cosine``
     or more in double precision. Equal vectors of a label become one, with
     their number, before anything meets. A label's vectors are dealt into
-    blocks of about 2048 by a hash of the id, and each pair of blocks is a
+    blocks of about 4096 by a hash of the id, and each pair of blocks is a
     task: each of 24 Gaussian projections is sorted, each vector's window
     counts those within two deviations of a pair at the threshold, and pairs
     with the calibrated count are verified. The tasks give sums of links and
@@ -145,4 +160,5 @@ def link_embeddings(
 
 
 def op1_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (vec_id, n_links, component_id, kept, copy_of), one for each id of ``embeddings``; see ``link_embeddings`` for nulls and repeats."""
     return link_embeddings(table(spark, sf_dir, "embeddings"))
