@@ -18,19 +18,26 @@ from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.toxicity import score, trained
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): all columns in one, so that no name of theirs clashes with what an operator adds."""
+    return docs.select("doc_id", "text", F.struct("*").alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model takes for toxic go. Null and empty texts stay."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return score(docs, trained(spark, docs, sf_dir), keep=rest).where("predicted = 0").select(docs.columns)
+    """Documents that the model takes for toxic go. Null and empty texts stay, as do null ids, by their texts."""
+    return score(carried(docs), trained(spark, docs, sf_dir), keep=("row",)).where("predicted = 0").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go from all but the last; n_chars follows the text.
 
-    A document all of whose lines go stays, with an empty text.
+    A document all of whose lines go stays, with an empty text. Rows with a
+    null id keep their lines.
     """
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    return dedup_lines(docs, keep=rest).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    rest = docs.select("doc_id", "text", F.struct(*(F.col(c) for c in docs.columns if c not in ("text", "n_chars"))).alias("row"))
+    done = dedup_lines(rest, keep=("row",))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return done.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
