@@ -8,9 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TEST_PATH = r"(^|/)(tests?|__tests__|spec|specs)/"
-TEST_SUFFIX = r"\.(test|spec)\.[^/.]+$"
-FIXTURE_PATH = r"(^|/)(fixtures?|testdata)/|\.d\.ts$"
+# Which paths are tests, and which are exempt from reachability.
+TEST_PATH = r"(\.test\.|\.spec\.)|(^|/)(test|tests|__tests__)/"
+TEST_SUFFIX = r"\.(test|spec)\.(ts|tsx|js|jsx)$"
+EXEMPT_PATH = r"\.d\.ts$|(^|/)fixtures/"
+# Names that say little about what shares them.
+LOW_SIGNAL_NAMES = (
+    "args", "child", "children", "detail", "details", "edge", "edges", "entry", "evidence", "file", "files", "flow", "flows", "issue", "issueid", "item", "items", "key", "kind", "label", "line",
+    "locator", "message", "name", "node", "nodes", "path", "reason", "result", "results", "row", "rows", "section", "sections", "signal", "signals", "snippet", "stats", "status", "symbol", "symbols", "value",
+)
+LOW_SIGNAL_WORDS = ("arg", "args", "ctx", "data", "detail", "entry", "item", "node", "options", "opts", "param", "params", "result", "results", "row", "rows", "value", "values")
+LOW_SIGNAL_KINDS = ("Constant", "Field", "Property", "Variable")
 IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*$"
 
 
@@ -30,13 +38,14 @@ def slugify(text: Column) -> Column:
 
 
 def classify_doc(path: Column) -> Column:
-    low = F.lower(path)
+    """The kind of a Markdown file by its base name."""
+    base = F.lower(F.element_at(F.split(path, "/"), -1))
     return (
-        F.when(low.rlike(r"(^|/)readme(\.[^/]*)?$"), "readme")
-        .when(low.rlike(r"(^|/)adrs?/|(^|/)adr-"), "adr")
-        .when(low.contains("runbook"), "runbook")
-        .when(low.contains("spec"), "spec")
-        .when(low.contains("architecture"), "architecture-note")
+        F.when(base.isin("readme.md", "readme.mdx"), "readme")
+        .when(base.contains("adr"), "adr")
+        .when(base.contains("runbook"), "runbook")
+        .when(base.contains("spec") | base.contains("prd"), "spec")
+        .when(base.contains("architecture"), "architecture-note")
         .otherwise("markdown")
     )
 
@@ -88,9 +97,9 @@ def hotspot_score(churn: Column, loc: Column, max_churn: Column, max_loc: Column
     return 0.6 * churn / F.greatest(max_churn, F.lit(1)) + 0.4 * loc / F.greatest(max_loc, F.lit(1))
 
 
-def symbol_signal(kind: Column, name: Column, low_names: Sequence[str] = ()) -> Column:
-    low = name.rlike(r"[(.\[\]\s]") | F.lower(name).isin(*low_names) if low_names else name.rlike(r"[(.\[\]\s]")
-    return F.when(low | kind.isin("Variable", "Property"), "low").otherwise("high")
+def symbol_signal(kind: Column, name: Column) -> Column:
+    """low for a name that is no plain word, and for a kind and a name that both say little."""
+    return F.when(name.rlike(r"[().\[\]\s]") | kind.isin(*LOW_SIGNAL_KINDS) & name.isin(*LOW_SIGNAL_WORDS), "low").otherwise("high")
 
 
 def confidence_from_strong(n: Column) -> Column:
@@ -151,18 +160,34 @@ def glob_to_regex(glob: str, braces: bool = True) -> str:
 
 
 def is_test_path(path: Column) -> Column:
-    return path.rlike(TEST_PATH) | path.rlike(TEST_SUFFIX)
+    return path.rlike(TEST_PATH)
 
 
 def is_identifier(name: Column) -> Column:
     return name.rlike(IDENTIFIER)
 
 
+#: Comments, strings (whatever is left open runs to the end), words, line feeds and single marks.
+CODE = r"""(?s)(//[^\n]*|/\*.*?(?:\*/|\z)|'(?:[^'\\]|\\.)*(?:'|\z)|"(?:[^"\\]|\\.)*(?:"|\z)|`(?:[^`\\]|\\.)*(?:`|\z)|[A-Za-z0-9_$]+|[^ \t\r\n])"""
+
+
 def code_tokens(text: Column) -> Column:
-    """Strings, words and single punctuation marks, without comments."""
-    bare = F.regexp_replace(text, r"(?s)/\*.*?\*/|//[^\n]*", " ")
-    return F.regexp_extract_all(bare, F.lit(r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|[A-Za-z0-9_$]+|[^\sA-Za-z0-9_$])"""), F.lit(1))
+    """Strings, words and single marks, without comments."""
+    java = CODE.replace("\\\\.)*", "\\\\.)*+")  # a loop that keeps what it has read needs no stack
+    return F.filter(F.regexp_extract_all(text, F.lit(java), F.lit(1)), lambda t: ~(F.startswith(t, F.lit("//")) | F.startswith(t, F.lit("/*"))))
 
 
 def normalize_literals(toks: Column) -> Column:
+    """Strings and numbers as placeholders."""
     return F.transform(toks, lambda t: F.when(t.rlike("^[\"'`]"), "\x01str").when(t.rlike("^[0-9]"), "\x01num").otherwise(t))
+
+
+def parse_range(json: Column) -> Column:
+    """(line, character) of a range's start; null where the JSON is malformed or has none."""
+    start = F.from_json(json, "start struct<line:int,character:int>")["start"]
+    return F.when(start["line"].isNotNull(), start)
+
+
+def on_line(text: Column, line: Column, word: str = "export") -> Column:
+    """If a declaration's line (from 0) holds a word; false beyond the text."""
+    return F.coalesce(F.get(F.split(text, "\n", -1), line).rlike(rf"\b{word}\b"), F.lit(False))

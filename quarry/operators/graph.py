@@ -32,7 +32,7 @@ def scc_cycles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH RECURSIVE base AS (WITH {EDGES} SELECT * FROM edges WHERE confidence = 1 AND src % 7 = 0),
+@query(f"""WITH RECURSIVE base AS (WITH {EDGES} SELECT * FROM edges WHERE confidence = 1),
 edges AS (SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst FROM base JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand <> b.p_brand),
 {SCC} SELECT component, count(*) AS scc_size, string_agg(node, ',' ORDER BY node) AS members FROM scc GROUP BY component HAVING count(*) > 1""")
 def zone_cycles(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.functions.scalars import confidence_from_strong, cosine, freshness_boost
 from quarry.operators.navigator import cochange
@@ -14,18 +19,49 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
-def mention_pairs(texts: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
-    """Rows (id, name_id) where the text holds the name; ``texts`` is (id, text), ``names`` (name_id, name).
+def mention_pairs(texts: DataFrame, names: DataFrame, least: int = 3, block_chars: int = 20_000_000) -> DataFrame:
+    """Rows (id, name_id), each once, where the text contains the name; ``texts`` is (id, text), ``names`` (name_id, name).
 
-    Names are looked for by their first word: an equi-join of the words of
-    the texts with it, then the containment of the whole name.
+    Containment of many names has no equi-join that is complete and short:
+    each text is read once by an automaton of all names (Aho-Corasick), in
+    time linear in it and in what it finds. The names are counted, and dealt
+    by hash into blocks of about ``block_chars`` characters, each of which is
+    broadcast; texts aren't shuffled. Names below ``least`` characters and
+    null texts are left out.
     """
-    head = lambda c: F.lower(F.regexp_extract(c, r"([\p{L}\p{N}]+)", 1))
-    keyed = names.where(F.length("name") >= least).withColumn("head", head("name")).where("head <> ''")
-    words = texts.select("id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("w"))
-    heads = keyed.select("head").distinct()
-    rows = words.join(heads, words["w"] == heads["head"], "left_semi").select("id", F.col("w").alias("head"))
-    return rows.join(keyed, "head").join(texts, "id").where(F.contains("text", "name")).select("id", "name_id").distinct()
+    spark = texts.sparkSession
+    keyed = names.where(F.char_length("name") >= least).select("name_id", "name").distinct()
+    n = max(1, -(-(keyed.agg(F.sum(F.char_length("name"))).first()[0] or 0) // block_chars))
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("name_id", names.schema["name_id"].dataType)])
+    arrow = to_arrow_schema(schema)
+    found = None
+    for i in range(n):
+        block = keyed.where(F.pmod(F.xxhash64("name"), F.lit(n)) == i) if n > 1 else keyed
+        ids: dict[str, list] = {}
+        for r in block.toLocalIterator():
+            ids.setdefault(r["name"], []).append(r["name_id"])
+        shared = spark.sparkContext.broadcast(ids)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for name, owners in shared.value.items():
+                automaton.add_word(name, owners)
+            if shared.value:
+                automaton.make_automaton()
+            for batch in batches:
+                keys, names = [], []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held = {id(owners): owners for _, owners in automaton.iter(text)} if shared.value else {}
+                    for owners in held.values():
+                        keys += [key] * len(owners)
+                        names += owners
+                yield pa.RecordBatch.from_arrays([pa.array(keys, arrow.field(0).type), pa.array(names, arrow.field(1).type)], schema=arrow)
+
+        part = texts.where("text is not null").select("id", "text").mapInArrow(run, schema)
+        found = part if found is None else found.union(part)
+    return found.distinct()
 
 
 MENTIONS = "m AS (SELECT doc_id AS id, item_id AS name_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 3)"

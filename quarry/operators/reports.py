@@ -26,13 +26,12 @@ def path_involvement(spark: SparkSession, d: str) -> DataFrame:
     return located.groupBy("path", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_layer_sql()}, {FOUND}, top AS (SELECT min(seq) AS seq FROM found) SELECT f.rule_id, f.path, f.anchor, s.p_name AS source_name, t.p_name AS target_name
-FROM found f JOIN top USING (seq) JOIN part s ON s.p_partkey = f.seq // 1000000 JOIN part t ON t.p_partkey = f.seq % 1000000""")
+@query(f"""WITH {_layer_sql()}, {FOUND}, top AS (SELECT src, dst FROM found ORDER BY src, dst LIMIT 1) SELECT f.rule_id, f.path, f.anchor, s.p_name AS source_name, t.p_name AS target_name
+FROM found f JOIN top USING (src, dst) JOIN part s ON s.p_partkey = f.src JOIN part t ON t.p_partkey = f.dst""")
 def explain_finding(spark: SparkSession, d: str) -> DataFrame:
     """A finding with the edge that is its evidence."""
     f = findings.findings(spark, d)
-    one = f.join(F.broadcast(f.agg(F.min("seq").alias("seq"))), "seq", "left_semi")
-    one = one.select("rule_id", "path", "anchor", F.floor(F.col("seq") / 1000000).alias("src"), (F.col("seq") % 1000000).alias("dst"))
+    one = f.orderBy("src", "dst").limit(1).select("rule_id", "path", "anchor", "src", "dst")
     part = table(spark, d, "part")
     name = lambda c, to: part.select(F.col("p_partkey").alias(c), F.col("p_name").alias(to))
     return one.join(name("src", "source_name"), "src").join(name("dst", "target_name"), "dst").select("rule_id", "path", "anchor", "source_name", "target_name")
@@ -53,15 +52,12 @@ def node_report(spark: SparkSession, d: str, zone: str = "Brand#11") -> DataFram
     )
 
 
-DOC = "doc_id % 10 = 0"  # of the SQL only
-
-
-@query(f"""WITH docs AS (SELECT doc_id, 'doc:' || source || '/' || doc_id || '.md' AS doc, text FROM documents WHERE {DOC}),
+@query(f"""WITH docs AS (SELECT doc_id, 'doc:' || source || '/' || doc_id || '.md' AS doc, text FROM documents),
 l AS (SELECT doc_id, doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
 s AS (SELECT doc_id, doc, regexp_replace(regexp_replace(lower(left(line, 20)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM l WHERE regexp_matches(line, '^[A-Z]')),
 sec AS (SELECT DISTINCT doc, 'doc_section:' || doc || '#' || slug AS section FROM s)
 SELECT doc AS src, section AS dst, 'contains' AS kind, 0.7::DOUBLE AS confidence FROM sec UNION ALL SELECT 'repo:.', doc, 'documents', 0.8::DOUBLE FROM docs
-UNION ALL SELECT DISTINCT 'doc:' || source || '/' || doc_id || '.md', 'unit:' || item_id, 'mentions', 0.7::DOUBLE FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE {DOC} AND length(b.text) >= 3""")
+UNION ALL SELECT DISTINCT 'doc:' || source || '/' || doc_id || '.md', 'unit:' || item_id, 'mentions', 0.7::DOUBLE FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 3""")
 def markdown_graph(spark: SparkSession, d: str) -> DataFrame:
     """Edges of documents as Markdown files: the repository documents them, they contain sections and mention units. Sections of one slug are one."""
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc:"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("doc"), "text")
@@ -75,7 +71,7 @@ def markdown_graph(spark: SparkSession, d: str) -> DataFrame:
     return contains.unionByName(documents).unionByName(mentions)
 
 
-@query("""WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS active, o_custkey FROM orders WHERE o_orderkey % 20 = 0),
+@query("""WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS active, o_custkey FROM orders),
 dep AS (SELECT 'issue:' || a.id AS src, 'issue:' || b.id AS dst, 'depends-on' AS kind, 1.0::DOUBLE AS weight FROM i a JOIN i b ON a.o_custkey = b.o_custkey AND a.id > b.id),
 tr AS (SELECT DISTINCT 'issue:' || id AS src, 'unit:' || l_partkey AS dst, 'tracked-by' AS kind, (1 + active)::DOUBLE AS weight FROM i JOIN lineitem ON l_orderkey = id)
 SELECT * FROM dep UNION ALL SELECT * FROM tr""")
@@ -90,7 +86,7 @@ def issue_graph(spark: SparkSession, d: str) -> DataFrame:
     return dep.unionByName(tracked)
 
 
-@query("""WITH i AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 20 = 0), t AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS file FROM lineitem JOIN i ON l_orderkey = id)
+@query("""WITH i AS (SELECT o_orderkey AS id FROM orders), t AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS file FROM lineitem JOIN i ON l_orderkey = id)
 SELECT b.file, count(*) AS issues FROM t a JOIN t b USING (id) WHERE a.file = (SELECT min(file) FROM t) AND b.file <> a.file GROUP BY b.file""")
 def related_by_issue(spark: SparkSession, d: str) -> DataFrame:
     """Files that share issues with a seed."""
@@ -131,11 +127,11 @@ def references(edges: DataFrame | None, indexed: DataFrame, name: str, live: Cal
     return "indexed-symbols", indexed.where(F.lower("name") == name.lower()).select("path")
 
 
-@query("""SELECT conv_id, string_agg(turn || ' ' || role || ': ' || left(text, 30), chr(10) ORDER BY turn) AS body, count(*) AS notes FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(turn || ' ' || role || ': ' || text, chr(10) ORDER BY turn) AS body, count(*) AS notes FROM conversations GROUP BY conv_id""")
 def investigation_report(spark: SparkSession, d: str) -> DataFrame:
     """An investigation's notes in order."""
     c = table(spark, d, "conversations")
-    line = F.concat(F.col("turn").cast("string"), F.lit(" "), "role", F.lit(": "), F.left("text", F.lit(30)))
+    line = F.concat(F.col("turn").cast("string"), F.lit(" "), "role", F.lit(": "), "text")
     notes = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(notes, lambda s: s["line"]), "\n").alias("body"), F.count(F.lit(1)).alias("notes"))
 

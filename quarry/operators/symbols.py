@@ -14,14 +14,14 @@ query = REGISTRY.query
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
-    """The first occurrence of each word of five ASCII letters or more in a unit: (path, zone, language, name, pos, kind, external_refs)."""
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z]{5,})"), F.lit(1)))
+    """The first occurrence of each word of four ASCII letters or more in a unit: (path, zone, language, name, pos, kind, external_refs)."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z]{4,})"), F.lit(1)))
     s = units(spark, d).select("path", "zone", "language", F.posexplode(words).alias("pos", "name"))
     kind = F.when(F.col("name").rlike("^[A-Z]"), "Class").when(F.length("name") % 3 == 0, "Variable").otherwise("Function")
     return s.select("path", "zone", "language", "name", "pos", kind.alias("kind"), (F.length("name") % 2).alias("external_refs"))
 
 
-SYMBOLS = f"""{UNITS}, w AS (SELECT path, zone, language, regexp_extract_all(text, '([A-Za-z]{{5,}})', 1) AS ws FROM units),
+SYMBOLS = f"""{UNITS}, w AS (SELECT path, zone, language, regexp_extract_all(text, '([A-Za-z]{{4,}})', 1) AS ws FROM units),
 o AS (SELECT path, zone, language, unnest(ws) AS name, generate_subscripts(ws, 1) AS i FROM w),
 f AS (SELECT path, zone, language, name, min(i) AS i FROM o GROUP BY ALL),
 sym AS (SELECT path, zone, language, name, row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS pos,
@@ -113,7 +113,7 @@ def edge_references(spark: SparkSession, d: str) -> DataFrame:
 FAMILIES = "CASE WHEN p_type IN ('STANDARD', 'SMALL') THEN 'c' WHEN p_type = 'MEDIUM' THEN 'rust' ELSE 'zig' END"
 
 
-@query(f"""WITH s AS (SELECT p_partkey AS id, p_name AS name, p_brand AS zone, {FAMILIES} AS family, p_size % 5 = 0 AS exported FROM part WHERE p_size <= 10),
+@query(f"""WITH s AS (SELECT p_partkey AS id, p_name AS name, p_brand AS zone, {FAMILIES} AS family, p_size % 5 = 0 AS exported FROM part),
 p AS (SELECT a.id AS src, b.id AS dst FROM s a JOIN s b ON a.name = b.name AND a.zone = b.zone AND a.family <> b.family AND b.exported)
 SELECT src, dst, count(*) OVER (PARTITION BY dst) AS external_refs FROM p""")
 def cross_language_refs(spark: SparkSession, d: str) -> DataFrame:

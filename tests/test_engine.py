@@ -22,7 +22,14 @@ from quarry.streaming.events import windowed_activity
 DATA = "/root/testdata/sf0.001"
 
 
-def rows(df: pd.DataFrame) -> list[tuple]:
+#: Queries whose order is part of the answer.
+ORDERED = (
+    "language_summary", "hotspot_score_topk", "children_by_metric", "cochange_top500", "definitions", "atoms", "vector_find", "vector_neighbors", "zones_order", "zones_filtered", "evidence_order",
+    "run_list", "findings_list", "flow_caps", "positions", "related_ranked", "node_lookup",
+)
+
+
+def rows(df: pd.DataFrame, order: bool = False) -> list[tuple]:
     def cell(v):
         if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
             return "None"
@@ -30,7 +37,8 @@ def rows(df: pd.DataFrame) -> list[tuple]:
             return f"{v:.6g}" if not v.is_integer() else str(int(v))
         return str(int(v)) if type(v).__name__.startswith(("int", "bool", "uint")) else str(v)
 
-    return sorted(tuple(cell(v) for v in r) for r in df[sorted(df.columns)].astype(object).values.tolist())
+    out = [tuple(cell(v) for v in r) for r in df[sorted(df.columns)].astype(object).values.tolist()]
+    return out if order else sorted(out)
 
 
 @pytest.fixture(scope="module")
@@ -45,10 +53,10 @@ def con():
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_sql(spark, con, name):
     got = catalog.QUERIES[name](spark, DATA).toPandas()
-    if name in catalog.ORACLE_SQL:
-        want = con.execute(catalog.ORACLE_SQL[name]).df()
-        assert sorted(got.columns) == sorted(want.columns)
-        assert rows(got) == rows(want)
+    assert name in catalog.ORACLE_SQL
+    want = con.execute(catalog.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got, name in ORDERED) == rows(want, name in ORDERED)
 
 
 def test_entry_imports():
@@ -97,6 +105,25 @@ def test_scalars(spark):
     assert tuple(one) == (2, 1, 0, "hello-world", "a/c", None, "@s/p", 1, 0.0, "high", ["a", "=", "'x y'", ";", "b"], None, 0.7)
 
 
+def test_code_tokens(spark):
+    texts = ['u = "http://x" // c', "/* a\n// b */ x`a\n${b}`", "'it\\'s' /* open", '"' + "\\x" * 30_000, "a_1$+=b\f", ""]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(S.code_tokens(F.col("t"))).collect()]
+    assert got == [["u", "=", '"http://x"'], ["x", "`a\n${b}`"], ["'it\\'s'"], [texts[3]], ["a_1$", "+", "=", "b", "\f"], []]
+
+
+def test_kinds_of_paths_and_names(spark):
+    paths = {"src/a.test.ts": (True, "markdown"), "spec/x.ts": (False, "markdown"), "a/__tests__/b.py": (True, "markdown"), "specs/notes.md": (False, "markdown"), "docs/PRD.md": (False, "spec"), "README.MDX": (False, "readme"), "adr/x.md": (False, "markdown"), "0001-adr.md": (False, "adr")}
+    got = {r[0]: (r[1], r[2]) for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", S.is_test_path(F.col("p")), S.classify_doc(F.col("p"))).collect()}
+    assert got == paths
+    names = {("Variable", "row"): "low", ("Variable", "total"): "high", ("Function", "row"): "high", ("Function", "a.b"): "low", ("Property", "data"): "low", ("Class", "map() callback"): "low"}
+    got = {(r[0], r[1]): r[2] for r in spark.createDataFrame(list(names), "k string, n string").select("k", "n", S.symbol_signal(F.col("k"), F.col("n"))).collect()}
+    assert got == names and len(S.LOW_SIGNAL_NAMES) == 42
+    got = spark.createDataFrame([('{"start":{"line":3,"character":4}}',), ('{"start":',), ("{}",), (None,)], "r string").select(S.parse_range(F.col("r"))["line"]).collect()
+    assert [r[0] for r in got] == [3, None, None, None]
+    assert [r[0] for r in spark.createDataFrame([("a\nexport b", 1), ("exported", 0), ("x", 7)], "t string, n int").select(S.on_line(F.col("t"), F.col("n"))).collect()] == [True, False, False]
+
+
+
 def test_globs():
     import re
 
@@ -116,13 +143,69 @@ def test_tree_imports_and_symbols(spark, tmp_path):
     assert sorted(r[0] for r in units.select("path").collect()) == ["package.json", "src/a.ts", "src/b.ts", "src/c.ts"]
     edges = fs.resolve_imports(fs.imports(units), units)
     assert sorted(map(tuple, edges.collect())) == [("src/a.ts", "src/b.ts", 1.0), ("src/a.ts", "src/c.ts", 0.5)]
-    assert {("src/b.ts", "Class", "Bee"), ("src/a.ts", "Function", "run")} <= set(map(tuple, fs.heuristic_symbols(units).collect()))
+    assert {("src/b.ts", "Class", "Bee"), ("src/a.ts", "Function", "run")} <= set(map(tuple, fs.heuristic_symbols(units).drop("signal").collect()))
     assert sorted(map(tuple, fs.manifest_packages(units).select("name", "section").collect())) == [("left-pad", "dependencies"), ("x", "devDependencies")]
     e = {r["path"]: r["entrypoint"] for r in fs.entrypoints(units, ["src/b.*"]).collect()}
     assert e == {"package.json": None, "src/a.ts": None, "src/b.ts": "true", "src/c.ts": "inferred"}
     assert fs.scan(units, "EXPORT").count() == 2
 
 
+def test_sources_by_their_rules(spark, tmp_path):
+    files = {
+        "out/a.ts": "", ".turbo/x": "", "src/a/b.gen.ts": "", "src/[id]/page.tsx": "export default 1", "pages/x.ts": "", "data.bin": "#!", "run.ts": "#!/usr/bin/env x", "bin/cli.js": "", "lib/m.mjs": "",
+        "package.json": '{"bin": {"c": "./bin/cli.js"}, "main": "lib/m.mjs", "module": "./bin/cli.js"}', "sub/p.csproj": "", "p.csproj": "", "build.gradle": "",
+        "s.sh": "source 'lib/x.sh'\n. ./y.sh # z\n# source no\n", "t.ts": "const a = 1\n. ./x\nimport type { A } from './types'\nexport * from './all'\nrequire('./req')\n",
+        "c.c": "#define MAX 1\nstruct node { int x; };\nenum color { A };\nint add(int a) {\n  if (a) { return a; }\n}\ntypedef struct node node_t;\n",
+        "k.ts": "export type Id = string\nexport abstract class Big {\n  async load(x) {\n  }\n  if (x) {}\n}\nconst low = 1\n", "f.bash": "function go {\n}\nrun () {\n}\n",
+        "e.php": "", "e.kt": "", "e.mdx": "", "e.cxx": "", "e.cs": "", "e.none": "",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    units = fs.read_tree(spark, str(tmp_path), globs=["src/*.gen.ts"]).cache()
+    seen = {r["path"]: r["language"] for r in units.collect()}
+    assert set(seen) == set(files) - {"out/a.ts", ".turbo/x", "src/a/b.gen.ts"}
+    assert [seen[f"e.{x}"] for x in ("php", "kt", "mdx", "cxx", "cs", "none")] == ["PHP", "Kotlin", "Markdown", "C/C++", "C#", "Other"]
+    assert {r["path"] for r in units.where("is_manifest").collect()} == {"package.json", "p.csproj", "build.gradle"}
+    found = {(r["path"], r["specifier"]) for r in fs.imports(units).collect()}
+    assert found == {("s.sh", "lib/x.sh"), ("s.sh", "./y.sh"), ("t.ts", "./types"), ("t.ts", "./all"), ("t.ts", "./req")}
+    why = {r["path"]: r["entrypoint_reason"] for r in fs.entrypoints(units, []).where("entrypoint is not null").collect()}
+    assert why == {"bin/cli.js": "package.json bin", "lib/m.mjs": "package.json main", "src/[id]/page.tsx": "route convention", "run.ts": "shebang CLI"}
+    symbols = {(r["path"], r["kind"], r["name"]) for r in fs.heuristic_symbols(units).collect()}
+    assert {x for x in symbols if x[0] == "c.c"} == {("c.c", *x) for x in (("Constant", "MAX"), ("Struct", "node"), ("Enum", "color"), ("Function", "add"), ("Typedef", "node_t"))}
+    assert {x[1:] for x in symbols if x[0] == "k.ts"} == {("TypeParameter", "Id"), ("Class", "Big"), ("Method", "load"), ("Variable", "low")}
+    assert {x[1:] for x in symbols if x[0] == "f.bash"} == {("Function", "go"), ("Function", "run")}
+
+
+def test_head_of_a_work_tree(tmp_path):
+    import subprocess
+
+    assert fs.read_head(str(tmp_path)) == (None, None)
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
+    git("init")
+    (tmp_path / "a").write_text("1")
+    git("add", "a")
+    git("commit", "-m", "one")
+    head, dirty = fs.read_head(str(tmp_path))
+    assert len(head) == 40 and dirty is False
+    (tmp_path / "a").write_text("2")
+    assert fs.read_head(str(tmp_path)) == (head, True)
+
+
+def test_definitions_ladder(spark):
+    from quarry.operators.listings import definitions_ladder
+
+    names = spark.createDataFrame([("Walk", "b.ts"), ("run", "c.ts")], "name string, path string")
+    none, some = names.limit(0), names.limit(1)
+
+    def down(_):
+        raise OSError("no server")
+
+    got = [definitions_ladder(names, "RUN", live, only)[:2] for live, only in ((lambda n: some, False), (lambda n: none, False), (down, False), (down, True), (None, False))]
+    assert got == [("semantic", False), ("indexed", True), ("indexed", True), ("indexed", False), ("indexed", True)]
+    assert [r["path"] for r in definitions_ladder(names, "RUN")[2].collect()] == ["c.ts"]
+
+
 def test_issues_and_history(spark, tmp_path):
     (tmp_path / "i.json").write_text('[{"id": "1", "title": "t", "status": "open", "priority": 2, "dependencies": [{"depends_on_id": "2"}]}, {"id": "3"}]')
     got = fs.read_issues(spark, str(tmp_path / "i.json")).collect()
@@ -205,6 +288,22 @@ def test_graphs_of_whole_tables(spark, tmp_path):
     assert run(texts.phase_boundaries, "zone", "stages") == [("s1", 2), ("s3", 2)]
 
 
+def test_mentions_equal_containment(spark):
+    """Random names of any characters in random texts, in one block and in many."""
+    import random
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("ab/.é😀 A") for _ in range(n))
+    texts = [(i, word(r.randint(0, 60))) for i in range(150)] + [(200, "see foosrc/a.ts"), (201, None), (202, "..."), (202, "x src/a.ts")]
+    names = [(k, word(r.randint(1, 6))) for k in range(200)] + [(300, "src/a.ts"), (301, "src/a.ts"), (302, "..."), (303, "a.")]
+    want = sorted({(i, k) for i, t in texts for k, n in names if t is not None and len(n) >= 3 and n in t})
+    t, n = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(names, "name_id long, name string")
+    assert len(want) > 100
+    for chars in (20_000_000, 100):
+        assert sorted(map(tuple, mention_pairs(t, n, block_chars=chars).collect())) == want
+    assert mention_pairs(t, n.limit(0)).count() == 0
+
+
 def test_mentions(spark):
     t = spark.createDataFrame([(1, "see src/a.ts and b"), (2, "nothing"), (3, None)], "id long, text string")
     n = spark.createDataFrame([(7, "src/a.ts"), (8, "no")], "name_id long, name string")
