@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontaminate, embedding_dedup, html_text, license_scan, line_dedup, near_dedup, sharding, token_files, toxicity
+from quarry.llm import bpe, decontaminate, embedding_dedup, html_text, license_scan, line_dedup, near_dedup, packing, sharding, source_divergence, token_files, toxicity, whitening
 
 QUERIES = {
     "op1_embedding_links": embedding_dedup.op1_embedding_links,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_html_text": html_text.op10_html_text,
+    "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_packing": packing.op13_packing,
 }
-ORACLE_SQL = {"op3_license_scan": license_scan.SQL, "op9_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op3_license_scan": license_scan.SQL, "op9_line_dedup": line_dedup.SQL, "op11_source_divergence": source_divergence.SQL}
