@@ -82,18 +82,22 @@ def top_rows(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     name = F.encode("item", "UTF-8")
     kth = kth_values(rows, keys, k)
     ties = stored(rows.join(kth.where("ties > need"), keys).where("value = low").select(*keys, name.alias("b")), "ties")
-    bound = stored(kth.where("ties > need").select(*keys, F.unhex(F.lit("")).alias("bound"), "need", F.lit(False).alias("done")), "bounds")
+    bound = stored(kth.where("ties > need").select(*keys, F.unhex(F.lit("")).alias("bound"), "need", F.lit(False).alias("ended"), F.lit(False).alias("done")), "bounds")
     while bound.where("not done").limit(1).count():
         held = F.expr("substring(b, 1, length(bound)) = bound")
         open_ = ties.join(bound.where("not done"), keys).where(held)
         bins = open_.groupBy(*keys, "bound", "need", F.expr("substring(b, length(bound) + 1, 2)").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
         upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))
         found = bins.withColumn("upto", upto).where("upto >= need and upto - n < need")
-        moved = found.select(*keys, F.concat("bound", "bin").alias("bound"), (F.col("need") - F.col("upto") + F.col("n")).alias("need"), (F.col("upto") == F.col("need")).alias("done"))
+        moved = found.select(
+            *keys, F.concat("bound", "bin").alias("bound"), (F.col("need") - F.col("upto") + F.col("n")).alias("need"),
+            (F.length("bin") < 2).alias("ended"), (F.col("upto") == F.col("need")).alias("done"),
+        )
         bound = stored(moved.union(bound.where("done").select(moved.columns)), "bounds")
-    limits = kth.select(*keys, "low").join(bound.select(*keys, "bound"), keys, "left")
+    limits = kth.select(*keys, "low").join(bound.select(*keys, "bound", "ended"), keys, "left")
+    upto = F.when(F.col("ended"), name).otherwise(F.substring(name, F.lit(1), F.length("bound"))) <= F.col("bound")  # an ended bound is an item, not the beginning of some
     return rows.join(limits, keys, "left").where(
-        F.col("low").isNull() | (F.col("value") > F.col("low")) | (F.col("value") == F.col("low")) & (F.col("bound").isNull() | (F.substring(name, F.lit(1), F.length("bound")) <= F.col("bound")))
+        F.col("low").isNull() | (F.col("value") > F.col("low")) | (F.col("value") == F.col("low")) & (F.col("bound").isNull() | upto)
     ).select(*rows.columns)
 
 
