@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("navigator", "graph", "findings", "clones", "symbols", "related", "lifecycle", "texts", "reports", "listings")
+MODULES = ("navigator", "graph", "findings", "clones", "symbols", "related", "lifecycle", "texts", "reports", "listings", "flows")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

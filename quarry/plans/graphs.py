@@ -9,20 +9,20 @@ dominate it.
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.shared import shared_dir
+
 SMALL = 1_000_000
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` by reliable checkpoint; a folder is set only where the session has none."""
+    """``df`` by reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
