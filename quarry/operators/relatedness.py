@@ -110,17 +110,17 @@ def nearest(seeds: DataFrame, vectors: DataFrame, limit: int = LIMIT, least: flo
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out = []
+        out: list[tuple] = []
         if len(a) and len(b):
             x, y = (np.stack(side["v"].to_list()) for side in (a, b))
             scale = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
             cosines = np.divide(x @ y.T, scale, out=np.zeros(scale.shape), where=scale > 0)
-            keys = b["key"].to_numpy()
-            for seed, row in zip(a["key"].to_numpy(), cosines, strict=True):
-                held = np.flatnonzero((row >= least) & (keys != seed))
-                found = pd.DataFrame({"seed": seed, "key": keys[held], "cosine": row[held]})
-                out.append(found.sort_values(["cosine", "key"], ascending=[False, True]).head(limit))
-        return pd.concat(out) if out else pd.DataFrame({"seed": [], "key": [], "cosine": []})
+            keys = b["key"].to_list()
+            for seed, row in zip(a["key"].to_list(), cosines, strict=True):
+                held = sorted((-row[i], keys[i]) for i in np.flatnonzero(row >= least).tolist() if keys[i] != seed)
+                out += [(seed, key, -c) for c, key in held[:limit]]
+        seed, key, cosine = zip(*out, strict=True) if out else ((), (), ())
+        return pd.DataFrame({"seed": pd.Series(seed, dtype=object), "key": pd.Series(key, dtype=object), "cosine": np.array(cosine, dtype=float)})
 
     found = placed(own, 0).union(placed(v, 1)).groupBy("dims", "i", "j").applyInPandas(near, f"seed {key_type}, key {key_type}, cosine double")
     return best(found, limit, F.desc("cosine"), "key")
