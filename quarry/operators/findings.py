@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,8 @@ from quarry.operators.graph import SCC, layer_violations
 from quarry.operators.navigator import degree_centrality
 from quarry.plans.graphs import strong_components
 from quarry.plans.registry import Registry
+from quarry.plans.shared import shared_dir
+from quarry.plans.store import FindingsStore, GraphStore
 from quarry.plans.views import EDGES, STATS, file_stats, import_edges, table
 
 REGISTRY = Registry()
@@ -96,6 +100,28 @@ def finding_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return findings(spark, d).select("id", "rule_id", "path", "anchor", "src", "dst")
 
 
+@query(f"""WITH {_layer_sql()}, {FOUND}, n AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY src, dst) AS k FROM found WHERE src % 2 = 0 OR dst % 3 = 0)
+SELECT 'architecture' AS category, 'fnd_r7_' || fp || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id, rule_id, src || ' > ' || dst AS title, (SELECT count(*) FROM n x WHERE x.fp = n.fp) AS evidence FROM n
+UNION ALL SELECT 'duplication', 'fnd_r7_' || substr(sha256('exact-clone' || chr(0) || p_name || chr(0) || 'names'), 1, 16), 'exact-clone', p_name, 0 FROM part GROUP BY p_name HAVING count(*) > 1""")
+def stored_findings(spark: SparkSession, d: str) -> DataFrame:
+    """A run's findings after its analyzers ran twice: what the second pass of a category doesn't find is gone, with its evidence."""
+    store = FindingsStore(GraphStore(spark, f"{shared_dir(spark)}/quarry-store-{uuid.uuid4().hex}"), 7)
+    pair = lambda a, b: F.concat(F.lpad(F.col(a).cast("string"), 20, "0"), F.lit(" "), F.lpad(F.col(b).cast("string"), 20, "0"))
+    cols = lambda title, summary, path: (F.lit("warning").alias("severity"), F.lit("medium").alias("confidence"), title.alias("title"), summary.alias("summary"), F.array(F.struct(path.alias("path"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"))).alias("locations"))
+    every = findings(spark, d)
+    found = every.select("rule_id", "anchor", *cols(pair("src", "dst"), F.lit(""), F.col("path")), "src", "dst", "fp")
+    proof = found.select(F.col("fp").alias("fingerprint"), F.lit("graph").alias("kind"), F.lit("imports").alias("source"), F.col("title").alias("locator"))
+    again = (F.col("src") % 2 == 0) | (F.col("dst") % 3 == 0)
+    store.recompute("architecture", found.drop("src", "dst", "fp"), proof)
+    clones = table(spark, d, "part").groupBy("p_name").count().where("count > 1")
+    store.recompute("duplication", clones.select(F.lit("exact-clone").alias("rule_id"), F.lit("names").alias("anchor"), *cols(F.col("p_name"), F.lit(""), F.col("p_name"))))
+    store.recompute("architecture", found.where(again).drop("src", "dst", "fp"), proof.join(found.where(again).select(F.col("title").alias("locator")), "locator", "left_semi"))
+    n = store.store.read("evidence", 7).groupBy(F.col("finding_id").alias("id")).agg(F.count(F.lit(1)).alias("evidence"))
+    whole = lambda i: F.split("title", " ")[i].cast("long").cast("string")
+    title = F.when(F.col("category") == "architecture", F.concat(whole(0), F.lit(" > "), whole(1))).otherwise(F.col("title"))
+    return store.list().join(n, "id", "left").select("category", "id", "rule_id", title.alias("title"), F.coalesce("evidence", F.lit(0)).alias("evidence"))
+
+
 # rule, path glob, expires (null: never), owner
 SUPPRESSIONS = (("layering-violation", "Brand/1*.ts", None, "a"), ("layering-violation", "Brand/2*.ts", "2001-01-01", "b"), ("hotspot", "**", None, "c"))
 TODAY = "2024-06-01"
