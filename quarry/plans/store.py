@@ -205,7 +205,7 @@ class FindingsStore:
         in the order of their title, summary and locations.
         """
         given = lambda f: F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)
-        place = F.coalesce(F.try_element_at("locations", F.lit(1))["path"], "node_key", F.lit(""))
+        place = F.coalesce(F.get("locations", 0)["path"], "node_key", F.lit(""))
         marked = rows.select(*(given(f).alias(f.name) for f in T.StructType.fromDDL(FINDING))).withColumn("fingerprint", fingerprint(F.col("rule_id"), place, F.col("anchor")))
         n = F.row_number().over(Window.partitionBy("fingerprint").orderBy("title", "summary", "locations"))
         ending = F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise("")
