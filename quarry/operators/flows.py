@@ -19,6 +19,7 @@ from quarry.functions.scalars import confidence_from_strong, is_test_path
 from quarry.plans.registry import Registry
 from quarry.plans.shared import stored
 from quarry.plans.views import table
+from quarry.sources.registry import section
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -77,6 +78,14 @@ class UserSignals:
     patterns: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
+def signals_of(config: str) -> UserSignals:
+    """The signals in the section `flows` of a configuration: lists of dependencies and patterns by the first words of the labels."""
+    given = section(config, "flows")
+    names = {"route": "http-routes", "queue": "queue-workers", "event": "event-bus", "cli": "cli-commands"}
+    take = lambda what: {label: tuple(given[f"{n}_{what}"]) for n, label in names.items() if given.get(f"{n}_{what}")}
+    return UserSignals(take("deps"), take("patterns"))
+
+
 def no_example(path: Column) -> Column:
     """Not a test, specification or fixture, whose code is no application's."""
     return ~(is_test_path(path) | path.rlike(r"(^|/)fixtures/"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.plans.registry import Registry
 from quarry.plans.views import table
+from quarry.sources.registry import detect_languages, load_registry, registry_rows, select_analyzers
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -114,22 +114,46 @@ def investigation_detail(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# analyzer, capability, priority, required file, succeeds
-ANALYZERS = (
-    ("lsp-ts", "symbols", 90, "package.json", True), ("heuristic", "symbols", 10, None, True), ("lsp-zig", "symbols", 80, "build.zig", True),
-    ("clang-tidy", "quality", 70, "compile_commands.json", False), ("cppcheck", "quality", 60, None, True), ("bun-test", "tests", 50, "package.json", False),
-)
-FILES = ("package.json", "compile_commands.json", "README.md")
-_VALUES = ", ".join(f"('{a}', '{c}', {p}, {f"'{r}'" if r else 'NULL'}, {s})" for a, c, p, r, s in ANALYZERS)
+def _language(name: str, ending: str, *analyzers: tuple[str, int, str, str]) -> str:
+    rows = "".join(
+        f"      - id: {a}\n        kind: lsp\n        tool: {a}\n        command:\n          - {a}\n        capabilities:\n" + "".join(f"          - {c}\n" for c in able.split())
+        + f"        priority: {p}\n" + (f"        required_files:\n          - {need}\n" if need else "") for a, p, able, need in analyzers
+    )
+    return f"  - id: {name}\n    display_name: {name}\n    detect:\n      extensions:\n        - {ending}\n" + (f"    analyzers:\n{rows}" if rows else "")
+
+
+#: A registry of the test tables: documents' languages, and tools that are kinds of events.
+REGISTRY_TEXT = "version: 1\nlanguages:\n" + "".join((
+    _language("english", ".en", ("view", 90, "symbols defs", "src1/1.en"), ("click", 90, "symbols", ""), ("error", 10, "symbols refs", "src0/0.xx"), ("signup", 5, "refs", "")),
+    _language("french", ".fr", ("purchase", 50, "symbols diagnostics", ""), ("absent", 70, "diagnostics refs", ""), ("view", 1, "diagnostics", "")),
+    _language("german", ".de", ("click", 20, "symbols", "no/such.file")), _language("spanish", ".es"), _language("italian", ".it", ("view", 1, "symbols", "")),
+))
+PLUGINS = {"english-plugin": ("english",), "romance-plugin": ("french", "italian")}
+_ROWS = registry_rows(REGISTRY_TEXT)
+_REG_SQL = "reg AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{r[0]}', '{r[3][0]}', {r[5]}, '{r[6]}', {r[10]}, {r[11]}, {r[12] or '[]::VARCHAR[]'})" if r[6] else f"('{r[0]}', '{r[3][0]}', NULL, NULL, []::VARCHAR[], NULL, []::VARCHAR[])" for r in _ROWS
+) + """) v(language, ending, nth, analyzer, able, priority, required)), paths AS (SELECT source || '/' || doc_id || '.' || lang AS path FROM documents),
+met AS (SELECT language, analyzer, count(*) AS met FROM (SELECT language, analyzer, unnest(required) AS path FROM reg) JOIN (SELECT DISTINCT path FROM paths) USING (path) GROUP BY ALL),
+ok AS (SELECT reg.* FROM reg LEFT JOIN met USING (language, analyzer) WHERE analyzer IS NOT NULL AND coalesce(met, 0) = len(required))"""
+
 
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("path"))
 
-@query(f"""WITH a AS (SELECT * FROM (VALUES {_VALUES}) v(analyzer, capability, priority, required, ok)), e AS (SELECT *, row_number() OVER (PARTITION BY capability ORDER BY priority DESC, analyzer) AS attempt
-FROM a WHERE required IS NULL OR required IN {FILES}), f AS (SELECT *, min(attempt) FILTER (WHERE ok) OVER (PARTITION BY capability) AS won FROM e)
-SELECT capability, analyzer, attempt, attempt = won AS selected FROM f WHERE attempt <= coalesce(won, attempt)""")
+
+@query(f"""WITH {RUNS}, {_REG_SQL}, o AS (SELECT capability AS analyzer, last(status ORDER BY event_id) AS status FROM runs GROUP BY 1),
+e AS (SELECT language, unnest(able) AS capability, analyzer, priority, nth, status FROM ok LEFT JOIN o USING (analyzer)),
+t AS (SELECT *, row_number() OVER (PARTITION BY language, capability ORDER BY priority DESC, nth) AS attempt FROM e), w AS (SELECT *, min(attempt) FILTER (WHERE status = 'success') OVER (PARTITION BY language, capability) AS won FROM t)
+SELECT language, capability, analyzer, attempt::INT AS attempt, coalesce(status, 'unavailable') AS status, coalesce(attempt = won, false) AS selected FROM w WHERE won IS NULL OR attempt <= won""")
 def analyzer_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Attempts for each capability in falling priority, up to the first success, among those whose file exists."""
-    a = spark.createDataFrame(list(ANALYZERS), "analyzer string, capability string, priority int, required string, ok boolean")
-    e = a.where(F.col("required").isNull() | F.col("required").isin(*FILES))
-    e = e.withColumn("attempt", F.row_number().over(Window.partitionBy("capability").orderBy(F.desc("priority"), "analyzer")).cast("long"))
-    f = e.withColumn("won", F.min(F.when(F.col("ok"), F.col("attempt"))).over(Window.partitionBy("capability")))
-    return f.where(F.col("attempt") <= F.coalesce("won", "attempt")).select("capability", "analyzer", "attempt", (F.col("attempt") == F.col("won")).alias("selected"))
+    """Attempts for each capability of a registry, by the files that there are and the last run of each tool."""
+    last = analyzer_runs(spark, d).groupBy(F.col("capability").alias("analyzer")).agg(F.max_by("status", "event_id").alias("status"))
+    return select_analyzers(load_registry(REGISTRY_TEXT).frame(spark), _paths(spark, d), last)
+
+
+@query(f"""WITH {_REG_SQL}, f AS (SELECT regexp_extract(path, '(\\.[^./]+)$', 1) AS ending, count(*) AS n FROM paths GROUP BY 1)
+SELECT language, CASE WHEN language = 'english' THEN 'english-plugin' WHEN language IN ('french', 'italian') THEN 'romance-plugin' ELSE 'registry' END AS plugin,
+CASE WHEN language IN (SELECT language FROM ok) THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS confidence, sum(n)::BIGINT AS files FROM f JOIN (SELECT DISTINCT language, ending FROM reg) USING (ending) GROUP BY language""")
+def plugin_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of all documents by a registry, with who answers for each and how surely."""
+    return detect_languages(load_registry(REGISTRY_TEXT).frame(spark), _paths(spark, d), PLUGINS)

@@ -212,17 +212,6 @@ def as_json(answer: DataFrame) -> DataFrame:
     return answer.select(F.to_json(F.struct("*")).alias("json"))
 
 
-# plugin, language, confidence by what it saw of a repository
-DETECTED = (("ts-plugin", "TypeScript", 0.9), ("generic", "TypeScript", 0.3), ("cpp-plugin", "C/C++", 0.8), ("zig-plugin", "Zig", 0.0), ("generic", "C/C++", 0.8), ("py-plugin", "Python", 0.5))
-
-
-@query("WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{x}', {c}::DOUBLE)" for p, x, c in DETECTED) + ") t(plugin, language, confidence)) SELECT language, arg_min(plugin, (-confidence, plugin)) AS plugin, max(confidence) AS confidence FROM v WHERE confidence > 0 GROUP BY language")
-def plugin_languages(spark: SparkSession, d: str) -> DataFrame:
-    """For each language the plugin that is surest of it, the first by name on ties."""
-    v = spark.createDataFrame(list(DETECTED), "plugin string, language string, confidence double").where("confidence > 0")
-    return v.groupBy("language").agg(F.min_by("plugin", F.struct(-F.col("confidence"), "plugin")).alias("plugin"), F.max("confidence").alias("confidence"))
-
-
 def definitions_ladder(indexed: DataFrame, name: str, live: Callable[[str], DataFrame] | None = None, indexed_only: bool = False) -> tuple[str, bool, DataFrame]:
     """Where a name is defined: (source, degraded, rows), from a live source if one answers, else from the index (name, path).
 

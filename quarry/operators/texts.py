@@ -53,41 +53,50 @@ LOG = (
     (7, "clang-tidy", "src/b.c:4:4: note: in expansion of macro"),
 )
 LINE = r"^([^:]+):([0-9]+):([0-9]+): (warning|error|note|style): (.*?)(?: \[([^\]]+)\])?$"
-_LOG_SQL = "log AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', '{x}')" for i, t, x in LOG) + ") v(n, tool, line))"
-_PARSED_SQL = f"""{_LOG_SQL}, p AS (SELECT n, tool, regexp_extract(line, '{LINE}', 1) AS path, regexp_extract(line, '{LINE}', 2)::INT AS line_no, regexp_extract(line, '{LINE}', 3)::INT AS col_no,
+#: Kinds of events as lines of two tools' logs, a log for each user.
+_SAID = {"view": "warning: value {v} [range-{v}]", "click": "note: declared here {v}", "error": "error: number {v} [bad-{v}]", "purchase": "style: spent {v}"}
+_SAID_SQL = " ".join(f"WHEN '{k}' THEN '{a}' || v || '{b}'" if "]" in s else f"WHEN '{k}' THEN '{a}' || v" for k, s in _SAID.items() for a, b in [(s.replace("{v}", "' || v || '", s.count("{v}") - 1).split("{v}")[0], s.split("{v}")[-1])])
+_LOG_SQL = f"""log AS (SELECT event_id AS n, CASE WHEN user_id % 2 = 0 THEN 'clang-tidy' ELSE 'cppcheck' END AS tool, user_id AS log,
+CASE WHEN event_type = 'signup' THEN v || ' warnings generated.' ELSE 'src/' || user_id || '.c:' || (event_id % 900 + 1) || ':' || (v::INT % 70 + 1) || ': ' || CASE event_type {_SAID_SQL} END END AS line FROM (SELECT *, props->>'$.k' AS v FROM events))"""
+_PARSED_SQL = f"""{_LOG_SQL}, p AS (SELECT n, tool, log, regexp_extract(line, '{LINE}', 1) AS path, regexp_extract(line, '{LINE}', 2)::INT AS line_no, regexp_extract(line, '{LINE}', 3)::INT AS col_no,
 regexp_extract(line, '{LINE}', 4) AS severity, regexp_extract(line, '{LINE}', 5) AS message, regexp_extract(line, '{LINE}', 6) AS code FROM log WHERE regexp_matches(line, '{LINE}')),
-g AS (SELECT *, sum(CASE WHEN severity <> 'note' THEN 1 ELSE 0 END) OVER (PARTITION BY tool ORDER BY n) AS grp FROM p),
-parsed AS (SELECT tool, min(n) AS n, first(path ORDER BY n) AS path, first(line_no ORDER BY n) AS line_no, first(col_no ORDER BY n) AS col_no, first(severity ORDER BY n) AS severity,
-string_agg(message, chr(10) ORDER BY n) AS message, first(code ORDER BY n) AS code FROM g GROUP BY tool, grp)"""
+g AS (SELECT *, sum(CASE WHEN severity <> 'note' THEN 1 ELSE 0 END) OVER (PARTITION BY tool, log ORDER BY n) AS grp FROM p),
+parsed AS (SELECT tool, log, min(n) AS n, first(path ORDER BY n) AS path, first(line_no ORDER BY n) AS line_no, first(col_no ORDER BY n) AS col_no, first(severity ORDER BY n) AS severity,
+string_agg(message, chr(10) ORDER BY n) AS message, first(code ORDER BY n) AS code FROM g GROUP BY tool, log, grp)"""
 
 
-def parse_log(log: DataFrame) -> DataFrame:
-    """Diagnostics of rows (n, tool, line); a note is folded into the one before it of its tool."""
+def parse_log(log: DataFrame, by: tuple[str, ...] = ("tool",)) -> DataFrame:
+    """Diagnostics of rows (n, tool, line); a note is folded into the one before it of its log, which ``by`` tells from others: a window each."""
     part = lambda i: F.regexp_extract("line", LINE, i)
     p = log.where(F.col("line").rlike(LINE)).select(
-        "n", "tool", part(1).alias("path"), part(2).cast("int").alias("line_no"), part(3).cast("int").alias("col_no"), part(4).alias("severity"), part(5).alias("message"), part(6).alias("code")
+        "n", *by, part(1).alias("path"), part(2).cast("int").alias("line_no"), part(3).cast("int").alias("col_no"), part(4).alias("severity"), part(5).alias("message"), part(6).alias("code")
     )
-    group = F.sum(F.when(F.col("severity") != "note", 1).otherwise(0)).over(Window.partitionBy("tool").orderBy("n"))
+    group = F.sum(F.when(F.col("severity") != "note", 1).otherwise(0)).over(Window.partitionBy(*by).orderBy("n"))
     first = lambda c: F.min_by(c, "n").alias(c)
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "message"))), lambda s: s["message"]), "\n")
-    return p.withColumn("grp", group).groupBy("tool", "grp").agg(
+    return p.withColumn("grp", group).groupBy(*by, "grp").agg(
         F.min("n").alias("first_n"), first("path"), first("line_no"), first("col_no"), first("severity"), texts.alias("message"), first("code")
-    ).select("tool", F.col("first_n").alias("n"), "path", "line_no", "col_no", "severity", "message", "code")
+    ).select(*by, F.col("first_n").alias("n"), "path", "line_no", "col_no", "severity", "message", "code")
 
 
-def _log(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LOG), "n int, tool string, line string")
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    text, v = lambda c: c.cast("string"), F.get_json_object("props", "$.k")
+    kind, user = F.col("event_type"), F.col("user_id")
+    said = F.coalesce(*(F.when(kind == k, F.replace(F.lit(s), F.lit("{v}"), v)) for k, s in _SAID.items()))
+    place = F.concat(F.lit("src/"), text(user), F.lit(".c:"), text(F.col("event_id") % 900 + 1), F.lit(":"), text(v.cast("int") % 70 + 1), F.lit(": "))
+    line = F.when(kind == "signup", F.concat(v, F.lit(" warnings generated."))).otherwise(F.concat(place, said))
+    return table(spark, d, "events").select(F.col("event_id").alias("n"), F.when(user % 2 == 0, "clang-tidy").otherwise("cppcheck").alias("tool"), user.alias("log"), line.alias("line"))
 
 
 @query(f"WITH {_PARSED_SQL} SELECT * FROM parsed")
 def diagnostic_parse(spark: SparkSession, d: str) -> DataFrame:
-    return parse_log(_log(spark))
+    return parse_log(_log(spark, d), ("tool", "log"))
 
 
 @query(f"""WITH {_PARSED_SQL} SELECT tool || ':' || code AS rule_id, path, line_no AS line, col_no AS col, severity, CASE severity WHEN 'error' THEN 'high' ELSE 'medium' END AS confidence
 FROM parsed WHERE severity IN ('error', 'warning')""")
 def c_audit(spark: SparkSession, d: str) -> DataFrame:
-    p = parse_log(_log(spark)).where("severity in ('error', 'warning')")
+    p = parse_log(_log(spark, d), ("tool", "log")).where("severity in ('error', 'warning')")
     return p.select(
         F.concat("tool", F.lit(":"), "code").alias("rule_id"), "path", F.col("line_no").alias("line"), F.col("col_no").alias("col"), "severity",
         F.when(F.col("severity") == "error", "high").otherwise("medium").alias("confidence"),
