@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.functions.scalars import confidence_from_strong, cosine, freshness_boost
 from quarry.operators.navigator import cochange
@@ -19,49 +14,34 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
-def mention_pairs(texts: DataFrame, names: DataFrame, least: int = 3, block_chars: int = 20_000_000) -> DataFrame:
+def grams(text: Column, n: int) -> Column:
+    """The different runs of ``n`` characters of a text: one pass of an expression that looks ahead at each place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def mention_pairs(texts: DataFrame, names: DataFrame, least: int = 3, gram: int = 12) -> DataFrame:
     """Rows (id, name_id), each once, where the text contains the name; ``texts`` is (id, text), ``names`` (name_id, name).
 
-    Containment of many names has no equi-join that is complete and short:
-    each text is read once by an automaton of all names (Aho-Corasick), in
-    time linear in it and in what it finds. The names are counted, and dealt
-    by hash into blocks of about ``block_chars`` characters, each of which is
-    broadcast; texts aren't shuffled. Names below ``least`` characters and
-    null texts are left out.
+    An index of n-grams: a text that contains a name contains all of its runs
+    of ``gram`` characters (or the whole of a shorter name), so it is found
+    by any of them. The one that the fewest texts have, by a count over all
+    texts, is the name's key; texts meet names by an equi-join on keys, and
+    ``contains`` decides. A name of which some run is in no text is in none.
+    All of it are expressions of the JVM and joins whose sizes Spark sees.
+    Names below ``least`` characters and null texts are left out.
     """
-    spark = texts.sparkSession
-    keyed = names.where(F.char_length("name") >= least).select("name_id", "name").distinct()
-    n = max(1, -(-(keyed.agg(F.sum(F.char_length("name"))).first()[0] or 0) // block_chars))
-    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("name_id", names.schema["name_id"].dataType)])
-    arrow = to_arrow_schema(schema)
-    found = None
-    for i in range(n):
-        block = keyed.where(F.pmod(F.xxhash64("name"), F.lit(n)) == i) if n > 1 else keyed
-        ids: dict[str, list] = {}
-        for r in block.toLocalIterator():
-            ids.setdefault(r["name"], []).append(r["name_id"])
-        shared = spark.sparkContext.broadcast(ids)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for name, owners in shared.value.items():
-                automaton.add_word(name, owners)
-            if shared.value:
-                automaton.make_automaton()
-            for batch in batches:
-                keys, names = [], []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    held = {id(owners): owners for _, owners in automaton.iter(text)} if shared.value else {}
-                    for owners in held.values():
-                        keys += [key] * len(owners)
-                        names += owners
-                yield pa.RecordBatch.from_arrays([pa.array(keys, arrow.field(0).type), pa.array(names, arrow.field(1).type)], schema=arrow)
-
-        part = texts.where("text is not null").select("id", "text").mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
-    return found.distinct()
+    keyed = names.where(F.char_length("name") >= least).select("name_id", "name").distinct().withColumn("size", F.least(F.char_length("name"), F.lit(gram)))
+    sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())  # lengths up to that of a gram
+    if not sizes:
+        return texts.select("id").where("false").withColumn("name_id", F.lit(None).cast(names.schema["name_id"].dataType))
+    own = F.coalesce(*(F.when(F.col("size") == n, grams(F.col("name"), n)) for n in sizes))
+    of_names = keyed.select("name_id", "name", F.explode(own).alias("gram"))
+    of_texts = texts.where("text is not null").select("id", F.explode(F.concat(*(grams(F.col("text"), n) for n in sizes))).alias("gram"))
+    counts = of_texts.join(of_names.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    each = of_names.join(counts, "gram", "left").select("name_id", "name", "gram", F.coalesce("n", F.lit(0)).alias("n"))
+    keys = each.groupBy("name_id", "name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min("n").alias("n")).where("n > 0")
+    near = of_texts.join(keys.select("name_id", "name", "gram"), "gram").select("id", "name_id", "name").distinct()
+    return near.join(texts.where("text is not null"), "id").where(F.contains("text", "name")).select("id", "name_id").distinct()
 
 
 MENTIONS = "m AS (SELECT doc_id AS id, item_id AS name_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 3)"

@@ -54,7 +54,7 @@ def node_report(spark: SparkSession, d: str, zone: str = "Brand#11") -> DataFram
 
 @query(f"""WITH docs AS (SELECT doc_id, 'doc:' || source || '/' || doc_id || '.md' AS doc, text FROM documents),
 l AS (SELECT doc_id, doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
-s AS (SELECT doc_id, doc, regexp_replace(regexp_replace(lower(left(line, 20)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM l WHERE regexp_matches(line, '^[A-Z]')),
+s AS (SELECT doc_id, doc, regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM l WHERE regexp_matches(line, '^[A-Z]')),
 sec AS (SELECT DISTINCT doc, 'doc_section:' || doc || '#' || slug AS section FROM s)
 SELECT doc AS src, section AS dst, 'contains' AS kind, 0.7::DOUBLE AS confidence FROM sec UNION ALL SELECT 'repo:.', doc, 'documents', 0.8::DOUBLE FROM docs
 UNION ALL SELECT DISTINCT 'doc:' || source || '/' || doc_id || '.md', 'unit:' || item_id, 'mentions', 0.7::DOUBLE FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 3""")
@@ -62,7 +62,7 @@ def markdown_graph(spark: SparkSession, d: str) -> DataFrame:
     """Edges of documents as Markdown files: the repository documents them, they contain sections and mention units. Sections of one slug are one."""
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc:"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("doc"), "text")
     lines = docs.select("doc", F.explode(F.filter(F.split("text", "\n", -1), lambda x: x.rlike("^[A-Z]"))).alias("line"))
-    sections = lines.select("doc", F.concat(F.lit("doc_section:"), "doc", F.lit("#"), slugify(F.left("line", F.lit(20)))).alias("section")).distinct()
+    sections = lines.select("doc", F.concat(F.lit("doc_section:"), "doc", F.lit("#"), slugify(F.col("line"))).alias("section")).distinct()
     names = table(spark, d, "benchmark").select(F.col("item_id").alias("name_id"), F.col("text").alias("name"))
     m = related.mention_pairs(docs.select(F.col("doc").alias("id"), "text"), names)
     contains = sections.select(F.col("doc").alias("src"), F.col("section").alias("dst"), F.lit("contains").alias("kind"), F.lit(0.7).alias("confidence"))

@@ -37,13 +37,13 @@ def sections(texts: DataFrame, heading: str) -> DataFrame:
 @query(r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at_line FROM documents),
 h AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^The ') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY at_line) AS section, regexp_matches(line, '^The ') AS is_head FROM l),
 s AS (SELECT id, section, max(line) FILTER (WHERE is_head) AS title, list(trim(line) ORDER BY at_line) FILTER (WHERE NOT is_head AND trim(line) <> '') AS body FROM h GROUP BY id, section)
-SELECT id, section::INT AS section, regexp_replace(regexp_replace(lower(left(title, 40)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
+SELECT id, section::INT AS section, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
 left(array_to_string(list_slice(coalesce(body, []), 1, 4), ' '), 500) AS summary FROM s WHERE title IS NOT NULL""")
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of all documents, however long."""
     t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     s = sections(t, "^The ").where("title is not null")
-    return s.select("id", "section", slugify(F.left("title", F.lit(40))).alias("slug"), summarize(F.col("body")).alias("summary"))
+    return s.select("id", "section", slugify(F.col("title")).alias("slug"), summarize(F.col("body")).alias("summary"))
 
 
 LOG = (

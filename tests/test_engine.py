@@ -237,7 +237,7 @@ def test_sections_of_long_texts(spark, tmp_path):
                 found.append((line, []))
             elif found and line.strip(" "):
                 found[-1][1].append(line.strip(" "))
-        slug = lambda x: re.sub("^-|-$", "", re.sub("[^a-z0-9]+", "-", x[:40].lower()))
+        slug = lambda x: re.sub("^-|-$", "", re.sub("[^a-z0-9]+", "-", x.lower()))
         want += [(i, k + 1, slug(title), " ".join(body[:4])[:500]) for k, (title, body) in enumerate(found)]
     got = markdown_sections(spark, str(tmp_path)).collect()
     assert len(want) == 3004 and sorted(map(tuple, got)) == sorted(want)
@@ -289,7 +289,7 @@ def test_graphs_of_whole_tables(spark, tmp_path):
 
 
 def test_mentions_equal_containment(spark):
-    """Random names of any characters in random texts, in one block and in many."""
+    """Random names of any characters in random texts, by keys of several lengths."""
     import random
 
     r = random.Random(4)
@@ -299,8 +299,8 @@ def test_mentions_equal_containment(spark):
     want = sorted({(i, k) for i, t in texts for k, n in names if t is not None and len(n) >= 3 and n in t})
     t, n = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(names, "name_id long, name string")
     assert len(want) > 100
-    for chars in (20_000_000, 100):
-        assert sorted(map(tuple, mention_pairs(t, n, block_chars=chars).collect())) == want
+    for gram in (12, 4, 3):
+        assert sorted(map(tuple, mention_pairs(t, n, gram=gram).collect())) == want
     assert mention_pairs(t, n.limit(0)).count() == 0
 
 
