@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from quarry.llm.common import table, text_or_empty
 
 #: A quote opens a value only after an equals sign; anywhere else it is a character like others.
 PART = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S
 )
 ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -28,8 +29,10 @@ BLOCK = frozenset(
 )
 TEXTUAL = frozenset("p pre blockquote li td th dd dt h1 h2 h3 h4 h5 h6 figcaption caption summary address".split())
 DROPPED = frozenset(
-    "head nav footer aside form button select option input label fieldset dialog menu svg math canvas object audio video map script style "
-    "textarea title noscript template iframe xmp noembed noframes search".split()
+    "head nav footer aside form button select option input label fieldset dialog menu canvas object audio video map script style "
+    "textarea title noscript template iframe xmp noembed noframes search "
+    # What pictures and formulas hold beside what they show.
+    "defs desc metadata symbol annotation annotation-xml".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NOISE = frozenset(
@@ -62,6 +65,8 @@ ENDS = {
     "tbody": frozenset(["tr", "td", "th", "thead", "tbody"]), "tfoot": frozenset(["tr", "td", "th", "thead", "tbody"]),
 }
 SCOPE = frozenset("ul ol dl table div section article main body html td th aside nav footer header form blockquote select".split())
+#: End tags that close elements beyond a cell or a table.
+TABLE_ENDS = frozenset("td th tr tbody thead table body html".split())
 P_SCOPE = SCOPE - {"ul", "ol", "dl"} | {"li"}
 
 
@@ -102,6 +107,8 @@ class Tree:
         self._run: list[str] = []
         self._links, self._owner = 0, 0
         self._open = [0]
+        self._places: dict[str, list[int]] = {}  # of each tag, where its open elements stand in _open
+        self._blocks = [0]
         self._article, self._link = 0, 0
         at = 0
         while m := PART.search(page, at):
@@ -139,9 +146,6 @@ class Tree:
                 self.runs.append((self._owner, text, self._links))
             self._run, self._links = [], 0
 
-    def _block(self) -> int:
-        return next(e for e in reversed(self._open) if e == 0 or self.tag[e] in BLOCK)
-
     def _start(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
             self._end_up_to(("p",), P_SCOPE)
@@ -152,6 +156,9 @@ class Tree:
         self.tag.append(tag)
         self.parent.append(up)
         self.noise.append(self.noise[up] or is_noise(tag, attrs, self._article > 0))
+        self._places.setdefault(tag, []).append(len(self._open))
+        if tag in BLOCK:
+            self._blocks.append(len(self._open))
         self._open.append(new)
         self._article += tag in ("article", "main")
         self._link += tag == "a"
@@ -163,37 +170,44 @@ class Tree:
 
     def _pop(self) -> None:
         tag = self.tag[self._open.pop()]
+        self._places[tag].pop()
         self._article -= tag in ("article", "main")
         self._link -= tag == "a"
         if tag in BLOCK:
             self._flush()
-            self._owner = self._block()
+            self._blocks.pop()
+            self._owner = self._open[self._blocks[-1]]
+
+    def _last(self, tags) -> int:
+        """Where the innermost open element of ``tags`` stands; 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self._places.get(t))), default=0)
 
     def _end_up_to(self, tags, stop) -> None:
         """Close the outermost open element of ``tags`` that no element of ``stop`` shields."""
-        found = 0
-        for i in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[i]]
-            if tag in tags:
-                found = i
-            elif tag in stop:
-                break
+        opened = [places for t in tags if (places := self._places.get(t))]
+        if not opened:
+            return
+        shield = self._last(stop)
+        found = min((places[i] for places in opened if (i := bisect_right(places, shield)) < len(places)), default=0)
         while found and len(self._open) > found:
             self._pop()
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            if self.tag[self._open[i]] == tag:
-                while len(self._open) > i:
-                    self._pop()
-                return
-            if tag not in BLOCK and self.tag[self._open[i]] in BLOCK or self.tag[self._open[i]] in ("td", "th", "table") and tag not in ("td", "th", "tr", "tbody", "thead", "table", "body", "html"):
-                return
+        """Close the innermost open element of a tag, unless a block, or for what isn't a table's own a cell or table, shields it."""
+        found = self._last((tag,))
+        if not found or tag not in BLOCK and self._blocks[-1] > found or tag not in TABLE_ENDS and self._last(("td", "th", "table")) > found:
+            return
+        while len(self._open) > found:
+            self._pop()
 
 
-def best_container(tree: Tree) -> tuple[int, list[float], list[float]]:
-    """The element with the highest score, all scores, and the shares of link text."""
+def best_container(tree: Tree) -> tuple[int, list[float], list[float], list[int]]:
+    """The element with the highest score, all scores, the shares of link text, and the sizes of the texts."""
     n = len(tree.tag)
+    block = list(range(n))  # the innermost block that holds an element, itself included; elements stand in page order
+    for e in range(1, n):
+        if tree.tag[e] not in BLOCK:
+            block[e] = block[tree.parent[e]]
     points, chars, links = [0.0] * n, [0] * n, [0] * n
     for owner, text, linked in tree.runs:
         size = len(text)
@@ -202,10 +216,9 @@ def best_container(tree: Tree) -> tuple[int, list[float], list[float]]:
         given = (1 + text.count(",") + min(size / 100, 3)) * (1 - min(1, linked / size)) if size >= 25 else min(size / 100, 0.25)
         to = tree.parent[owner] if tree.tag[owner] in TEXTUAL else owner
         for share in (1, 0.5, 0.25, 0.125):
-            while to > 0 and tree.tag[to] not in BLOCK:
-                to = tree.parent[to]
             if to < 0:
                 break
+            to = block[to]
             points[to] += given * share
             to = tree.parent[to]
     for e in range(n - 1, 0, -1):
@@ -221,17 +234,57 @@ def best_container(tree: Tree) -> tuple[int, list[float], list[float]]:
             if tree.tag[up] == "article":
                 break
         up = tree.parent[up]
-    return best, scores, density
+    return best, scores, density, chars
 
 
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A whole sentence, but for a copyright notice.
 SAID = re.compile(r"^(?!\W*(?:©|\(c\)|copyright)).*[.!?…:][\"'»”’)]*$", re.I | re.S)
 
 
-def inside(tree: Tree, e: int, container: int) -> bool:
-    while e > container:
-        e = tree.parent[e]
-    return e == container
+def keep_beside(tree: Tree, best: int, scores: list[float], density: list[float], kept: list[bool]) -> None:
+    """Siblings of the best container that are like it, and sentences beside it; beside an article only other articles."""
+    article = tree.tag[best] == "article"
+    least = scores[best] * 0.2 if article else max(10.0, scores[best] * 0.2)
+    n = len(tree.tag)
+    size, texts = [0] * n, [""] * n
+    for owner, text, _ in tree.runs:
+        size[owner] += len(text)
+        texts[owner] = text
+    for e in range(1, n):
+        if tree.parent[e] != tree.parent[best]:
+            continue
+        if article:
+            kept[e] |= tree.tag[e] == "article" and scores[e] >= least and density[e] < 0.5
+        else:
+            kept[e] |= scores[e] >= least or tree.tag[e] in TEXTUAL and density[e] < 0.25 and (size[e] > 80 or SAID.search(texts[e]) is not None)
+
+
+def keep_headline(tree: Tree, best: int, density: list[float], chars: list[int], kept: list[bool]) -> None:
+    """A headline before the container, or before one that holds it; else the last of those that are all that a wrapper of theirs holds."""
+    end = best + 1
+    while end < len(tree.tag) and tree.parent[end] >= best:  # what an element holds follows it
+        end += 1
+    inner = [tree.tag[owner] for owner, _, _ in tree.runs if best <= owner < end]
+    if "h1" in inner or tree.tag[best] == "article" and inner and inner[0] in HEADS:
+        return
+    above, up = set(), best
+    while up > 0:
+        up = tree.parent[up]
+        above.add(up)
+    wrapped = 0
+    for e in range(1, best):
+        if tree.tag[e] != "h1" or not chars[e] or density[e] >= 0.5:
+            continue
+        up = e
+        while tree.parent[up] not in above and chars[tree.parent[up]] == chars[e]:
+            up = tree.parent[up]
+        if tree.parent[e] in above:
+            kept[e], wrapped = True, -1
+        elif tree.parent[up] in above and wrapped >= 0:
+            wrapped = e
+    if wrapped > 0:
+        kept[wrapped] = True
 
 
 def main_text(page: str) -> str:
@@ -239,27 +292,13 @@ def main_text(page: str) -> str:
     tree = Tree(page)
     if not tree.runs:
         return ""
-    best, scores, density = best_container(tree)
+    best, scores, density, chars = best_container(tree)
     n = len(tree.tag)
     kept = [False] * n
     kept[best] = True
-    if best and tree.tag[best] not in ("article", "main", "body", "html"):
-        least = max(10.0, scores[best] * 0.2)
-        size, texts = [0] * n, [""] * n
-        for owner, text, _ in tree.runs:
-            size[owner] += len(text)
-            texts[owner] = text
-        within, up = [False] * n, best
-        while up > 0:
-            up = tree.parent[up]
-            within[up] = True
-        own_head = any(tree.tag[owner] == "h1" and inside(tree, owner, best) for owner, _, _ in tree.runs)
-        for e in range(1, n):
-            if tree.parent[e] == tree.parent[best]:
-                kept[e] |= scores[e] >= least or tree.tag[e] in TEXTUAL and density[e] < 0.25 and (size[e] > 80 or SAID.search(texts[e]) is not None)
-            # The headline may stand before the container, or before one that holds it.
-            if tree.tag[e] == "h1" and e < best and within[tree.parent[e]] and not own_head and density[e] < 0.5:
-                kept[e] = True
+    if best and tree.tag[best] not in ("main", "body", "html"):
+        keep_beside(tree, best, scores, density, kept)
+        keep_headline(tree, best, density, chars, kept)
     for e in range(1, n):
         kept[e] = kept[e] or kept[tree.parent[e]]
     return "\n".join(text for owner, text, _ in tree.runs if kept[owner])
@@ -271,13 +310,15 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
     Paragraphs pass points for length and commas to their ancestors, halved
     at each step; an element's points are discounted by the share of link
     text in it. The element with the most points, or the article element
-    that holds it, is kept with its like siblings, sentences and headlines
-    beside it, less menus, notices and other parts that aren't the article. Each task parses its pages one at a
-    time, in time linear in the page but for its depth.
+    that holds it, is kept with its like siblings, sentences and a headline
+    beside it, also one in a wrapper of its own; beside an article only other
+    articles are kept. Menus, notices and other parts that aren't the article
+    go. Each task parses its pages one at a time; the work grows with the
+    elements of a page, not with those left open.
 
     A null or empty page, and one without article text, has an empty text.
     Repeated rows and null keys stay. Broken markup is read as far as it
-    goes. Other columns are ignored.
+    goes. An empty table gives no rows. Other columns are ignored.
     """
     names = [f"k{i}" for i in range(len(keep))]
 

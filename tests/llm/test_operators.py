@@ -613,13 +613,28 @@ PARA = "A paragraph, with commas, of a length that tells the score where the art
         ('<article><p>One</p><div class="related-posts"><p>No</p></div><div class="share"><p>No</p></div><p class="cookie-note">No</p><div class="advert">No</div></article>', "One"),
         (f"<body><div id=wrap><h1>Head</h1><div class=content><p>{PARA % 1}</p><p>{PARA % 2}</p></div></div></body>", f"Head\n{PARA % 1}\n{PARA % 2}"),
         (f"<body><div id=wrap><p>Short lead.</p><div><p>{PARA % 1}</p><p>{PARA % 2}</p></div><p>The end.</p></div></body>", f"Short lead.\n{PARA % 1}\n{PARA % 2}\nThe end."),
-        (f"<body><div><h1>Head</h1></div><div><div><p>{PARA % 1}</p><p>{PARA % 2}</p></div></div><p>&copy; 2020 Someone.</p></body>", f"{PARA % 1}\n{PARA % 2}"),
+        (f"<body><div><h1>Head</h1></div><div><div><p>{PARA % 1}</p><p>{PARA % 2}</p></div></div><p>&copy; 2020 Someone.</p></body>", f"Head\n{PARA % 1}\n{PARA % 2}"),
+        ("<article><p>One</p><!--><p>Two</p><!---><p>Three</p><!-- a --!><p>Four</p><!-- b --><p>Five</p><!-- no", "One\nTwo\nThree\nFour\nFive"),
+        ("<main><article>A</article><article>B</article><article class=comment>C</article></main>", "A\nB"),
+        ("<article><p>The value <math><mi>x</mi><annotation>x</annotation></math> is</p><svg><desc>d</desc><text>label</text></svg></article>", "The value x is\nlabel"),
+        (f"<main><h1>Head</h1><article><p>{PARA % 1}</p></article></main>", f"Head\n{PARA % 1}"),
+        (f"<body><h1>Site</h1><article><h2>Head</h2><p>{PARA % 1}</p></article></body>", f"Head\n{PARA % 1}"),
     ],
 )
 def test_html_keeps_the_article(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_html_time_grows_with_the_page():
+    """Elements left open, and headlines deep within them, cost no more than others."""
+    import time
+
+    for page in ("<b>" * 40000 + f"<p>{PARA % 1}" * 40000, "<div>" * 20000 + "<h1>a</h1>" * 20000, "<ul><li>" * 20000 + "<b><p>text" * 20000, "</i><b></p>" * 40000):
+        t = time.time()
+        html_text.main_text(page)
+        assert time.time() - t < 20
+
+
 def second_extractor(page):
     """Brute force by the library's parser, for pages with an article element: its blocks, less what stands in named parts."""
     from html.parser import HTMLParser
