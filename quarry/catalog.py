@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("navigator", "graph", "findings", "clones", "symbols", "related", "lifecycle", "texts", "reports", "listings", "flows", "symbol_trees", "semantic", "investigations", "abi", "relatedness", "composed")
+MODULES = ("navigator", "graph", "findings", "clones", "symbols", "related", "lifecycle", "texts", "reports", "listings", "flows", "symbol_trees", "semantic", "investigations", "abi", "relatedness", "composed", "doctor")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
