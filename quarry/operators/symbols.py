@@ -117,10 +117,13 @@ FAMILIES = "CASE WHEN p_type IN ('STANDARD', 'SMALL') THEN 'c' WHEN p_type = 'ME
 p AS (SELECT a.id AS src, b.id AS dst FROM s a JOIN s b ON a.name = b.name AND a.zone = b.zone AND a.family <> b.family AND b.exported)
 SELECT src, dst, count(*) OVER (PARTITION BY dst) AS external_refs FROM p""")
 def cross_language_refs(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols of one name and zone in two language families, the second one exported."""
+    """Symbols of one name and zone in two language families, the second one exported. References are counted by name and family, before there are pairs."""
     family = F.when(F.col("p_type").isin("STANDARD", "SMALL"), "c").when(F.col("p_type") == "MEDIUM", "rust").otherwise("zig")
     s = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", family.alias("family"), (F.col("p_size") % 5 == 0).alias("exported"))
-    b = s.where("exported").select(F.col("id").alias("dst"), "p_name", "p_brand", F.col("family").alias("other"))
-    p = s.join(b, ["p_name", "p_brand"]).where("family <> other").select(F.col("id").alias("src"), "dst")
-    n = p.groupBy("dst").agg(F.count(F.lit(1)).alias("external_refs"))
-    return p.join(n, "dst").select("src", "dst", "external_refs")
+    name = ["p_name", "p_brand"]
+    members = s.groupBy(*name, "family").agg(F.count(F.lit(1)).alias("members"))
+    foreign = members.join(members.groupBy(*name).agg(F.sum("members").alias("total")), name).select(*name, "family", (F.col("total") - F.col("members")).alias("foreign"))
+    b = s.where("exported").join(foreign, [*name, "family"])
+    n = b.groupBy("id").agg(F.sum("foreign").alias("external_refs"))
+    b = b.join(n, "id").select(F.col("id").alias("dst"), *name, F.col("family").alias("other"), "external_refs")
+    return s.join(b, name).where("family <> other").select(F.col("id").alias("src"), "dst", "external_refs")
