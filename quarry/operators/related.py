@@ -2,46 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import confidence_from_strong, cosine, freshness_boost
 from quarry.operators.navigator import cochange
 from quarry.plans.registry import Registry
+from quarry.plans.shared import stored
 from quarry.plans.views import EDGES, STATS, UNITS, file_stats, import_edges, table, touches, units
 
 REGISTRY = Registry()
 query = REGISTRY.query
 
 
-def grams(text: Column, n: int) -> Column:
-    """The different runs of ``n`` characters of a text: one pass of an expression that looks ahead at each place."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+FEW = 100_000  # so many runs of names are broadcast, a counted size
 
 
-def mention_pairs(texts: DataFrame, names: DataFrame, least: int = 3, gram: int = 12) -> DataFrame:
+def mention_pairs(texts: DataFrame, names: DataFrame, least: int = 3, gram: int = 12, few: int = FEW) -> DataFrame:
     """Rows (id, name_id), each once, where the text contains the name; ``texts`` is (id, text), ``names`` (name_id, name).
 
-    An index of n-grams: a text that contains a name contains all of its runs
-    of ``gram`` characters (or the whole of a shorter name), so it is found
-    by any of them. The one that the fewest texts have, by a count over all
-    texts, is the name's key; texts meet names by an equi-join on keys, and
-    ``contains`` decides. A name of which some run is in no text is in none.
-    All of it are expressions of the JVM and joins whose sizes Spark sees.
-    Names below ``least`` characters and null texts are left out.
+    An index of n-grams: texts are cut into blocks of ``gram`` characters,
+    side by side, and names into runs of as many from every place. A name of
+    2 n - 1 characters holds a whole block of n wherever it stands in a text
+    (shorter names take blocks of half their length), so for each of the n
+    ways that blocks may lie in it one run is enough. The one that the fewest
+    texts have, by a count over all texts, is the name's key for that way;
+    texts meet names by an equi-join on keys, and ``contains`` decides. Up to
+    ``few`` runs of names, a counted size, are broadcast, so that no block of
+    a text is shuffled. All of it are expressions of the JVM. Names below
+    ``least`` characters and null texts are left out.
     """
-    keyed = names.where(F.char_length("name") >= least).select("name_id", "name").distinct().withColumn("size", F.least(F.char_length("name"), F.lit(gram)))
+    length = F.char_length("name")
+    keyed = names.where(length >= least).select("name_id", "name").distinct().withColumn("size", F.least(F.floor((length + 1) / 2).cast("int"), F.lit(gram)))
     sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())  # lengths up to that of a gram
     if not sizes:
         return texts.select("id").where("false").withColumn("name_id", F.lit(None).cast(names.schema["name_id"].dataType))
-    own = F.coalesce(*(F.when(F.col("size") == n, grams(F.col("name"), n)) for n in sizes))
-    of_names = keyed.select("name_id", "name", F.explode(own).alias("gram"))
-    of_texts = texts.where("text is not null").select("id", F.explode(F.concat(*(grams(F.col("text"), n) for n in sizes))).alias("gram"))
-    counts = of_texts.join(of_names.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    each = of_names.join(counts, "gram", "left").select("name_id", "name", "gram", F.coalesce("n", F.lit(0)).alias("n"))
-    keys = each.groupBy("name_id", "name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min("n").alias("n")).where("n > 0")
-    near = of_texts.join(keys.select("name_id", "name", "gram"), "gram").select("id", "name_id", "name").distinct()
-    return near.join(texts.where("text is not null"), "id").where(F.contains("text", "name")).select("id", "name_id").distinct()
+    runs = F.transform(F.sequence(F.lit(0), length - F.col("size")), lambda i: F.struct((i % F.col("size")).alias("way"), F.substr(F.col("name"), i + 1, F.col("size")).alias("gram")))
+    of_names = keyed.select("name_id", "name", F.inline(runs))
+    small = of_names.count() <= few
+    met = F.broadcast if small else (lambda df: df)
+    texts = texts.where("text is not null")
+    blocks = [F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s).{{{n}}}"), F.lit(0))) for n in sizes]
+    of_texts = texts.select("id", "text", F.explode(F.concat(*blocks)).alias("gram"))
+    counts = of_texts.join(met(of_names.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    each = of_names.join(counts, "gram", "left").select("name_id", "name", "way", "gram", F.coalesce("n", F.lit(0)).alias("n"))
+    keys = each.groupBy("name_id", "name", "way").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min("n").alias("n")).where("n > 0").select("name_id", "name", "gram").distinct()
+    if small:
+        return of_texts.join(F.broadcast(keys), "gram").where(F.contains("text", "name")).select("id", "name_id").distinct()
+    near = of_texts.select("id", "gram").join(keys, "gram").select("id", "name_id", "name").distinct()
+    return near.join(texts, "id").where(F.contains("text", "name")).select("id", "name_id").distinct()
 
 
 MENTIONS = "m AS (SELECT doc_id AS id, item_id AS name_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 3)"
@@ -61,7 +70,7 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT name_id, -1, count(*) FROM m GROUP BY name_id""")
 def documented_together(spark: SparkSession, d: str) -> DataFrame:
     """Items that one document mentions, and (other -1) the documents of each."""
-    m = _mentions(spark, d)
+    m = stored(_mentions(spark, d), "mentions")
     both = m.join(m.select("id", F.col("name_id").alias("other")), "id").where("name_id < other").groupBy(F.col("name_id").alias("item"), "other").agg(F.count(F.lit(1)).alias("docs"))
     return both.union(m.groupBy(F.col("name_id").alias("item")).agg(F.count(F.lit(1)).alias("docs")).select("item", F.lit(-1).cast("long"), "docs"))
 

@@ -304,6 +304,42 @@ def test_mentions_equal_containment(spark):
     assert mention_pairs(t, n.limit(0)).count() == 0
 
 
+def test_mentions_by_blocks(spark, monkeypatch):
+    """Texts are cut into blocks side by side, with few names and with many; names of all lengths at all places are found; mentions are made once a query."""
+    from quarry.operators import related
+
+    names = [(n, "abcdefghijklmnopqrstuvwxyz0123456789"[:n]) for n in range(3, 36)]
+    texts = [(100 * n + k, "é😀" * k + name + "-" * (k % 5)) for n, name in names for k in range(14)]
+    t, n = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(names, "name_id long, name string")
+    want = sorted((i, k) for i, text in texts for k, name in names if name in text)
+    for few in (0, related.FEW):
+        got = mention_pairs(t, n, few=few)
+        assert "?=" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == want
+    made, keep = [], related.stored
+    monkeypatch.setattr(related, "stored", lambda df, name: made.append(name) or keep(df, name))
+    related.documented_together(spark, DATA).count()
+    assert made == ["mentions"]
+
+
+def test_rounds_of_graphs(spark, monkeypatch):
+    """The last edges are solved by one task, however long their chains; only counted, small sides are broadcast."""
+    from quarry.plans import graphs
+
+    ring = lambda a, n: [(a + i, a + (i + 1) % n) for i in range(n)]
+    chain = [(i, i + 1) for i in range(1000, 1015)]
+    edges = spark.createDataFrame(ring(0, 12) + ring(20, 9) + [(3, 22)] + ring(40, 2) + ring(50, 2) + [(3, 1000)] + chain, "src long, dst long")
+    made, keep = [], graphs.stored
+    monkeypatch.setattr(graphs, "stored", lambda df, name: made.append(name) or keep(df, name))
+    want = {x: a for a, n in ((0, 12), (20, 9), (40, 2), (50, 2)) for x in range(a, a + n)}
+    assert dict(map(tuple, graphs.strong_components(edges, small=41).collect())) == want
+    assert made.count("edges") == 2
+    monkeypatch.setattr(graphs, "FEW", 0)
+    assert dict(map(tuple, graphs.strong_components(edges, small=10).collect())) == want
+    plan = edges.join(graphs._near(edges.select("src"), 1), "src")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_mentions(spark):
     t = spark.createDataFrame([(1, "see src/a.ts and b"), (2, "nothing"), (3, None)], "id long, text string")
     n = spark.createDataFrame([(7, "src/a.ts"), (8, "no")], "name_id long, name string")
