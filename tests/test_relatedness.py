@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from quarry.operators import relatedness as rel
 
 
@@ -79,3 +81,20 @@ def test_fusion(spark):
         ("s", 3, "old", 1.5, ["git"], ["co-changed in 1 commit"]), ("t", 1, "old", 1.0, ["meaning"], ["semantic similarity 0.50"]),
     ]
     assert [r["key"] for r in rel.fused(signals, units, 9).where("seed = 's'").orderBy("rank").collect()] == ["both", "fresh", "old", "never"]
+
+
+def test_units_of_the_same_names_are_one_class(spark):
+    """Many units of few names: classes of them are joined, and the first of each seed are those of all pairs."""
+    names = {k: (f"kind{k % 3}", f"Zone{k % 2}") for k in range(240)}
+    symbols = spark.createDataFrame([(k, n, "Function") for k, both in names.items() for n in both], "key long, name string, kind string")
+    seeds = spark.createDataFrame([(k,) for k in range(0, 240, 20)], "seed long")
+    rows = symbols.select("key", F.lower("name").alias("low"), "name")
+    units, classes = rel._classes(rows, "key", "class", F.struct("low", "name"))
+    assert units.count() == 240 and classes.count() == 12
+    want = set()
+    for seed in range(0, 240, 20):
+        shared = {k: set(names[seed]) & set(v) for k, v in names.items() if k != seed}
+        for n, k in sorted((-len(v), k) for k, v in shared.items() if v)[:15]:
+            want.add((seed, k, -n * 1.0, f"shared: {', '.join(sorted(shared[k]))}"))
+    got = rel.by_symbols(seeds, symbols, limit=5).collect()
+    assert {(x["seed"], x["key"], x["score"], x["reasons"][1]) for x in got} == want and len(got) == len(want) == 180
