@@ -19,16 +19,16 @@ KINDS = (
     "File", "Module", "Namespace", "Package", "Class", "Method", "Property", "Field", "Constructor", "Enum", "Interface", "Function", "Variable", "Constant", "String", "Number", "Boolean", "Array",
     "Object", "Key", "Null", "EnumMember", "Struct", "Event", "Operator", "TypeParameter",
 )
-LEAST_LEVEL = 6  # ranges of fewer than 64 lines meet in blocks of 64
+NARROW = 6  # ranges of fewer than 64 lines meet in blocks of 64
 _POSITION = "struct<line:int,character:int>"
 _RANGE = f"struct<start:{_POSITION},end:{_POSITION}>"
 _SYMBOL = "name string, kind string, containerName string, range string, selectionRange string, location struct<range:string>, children string"
 
 
 def _range(json: Column) -> Column:
-    """A range of whole numbers, or null."""
-    r = F.from_json(json, _RANGE)
-    return F.when(r["start"]["line"].isNotNull() & r["start"]["character"].isNotNull() & r["end"]["line"].isNotNull() & r["end"]["character"].isNotNull(), r)
+    """A range of whole numbers, or null. The text is read once: it is the one element of an array that is filtered."""
+    whole = lambda r: r["start"]["line"].isNotNull() & r["start"]["character"].isNotNull() & r["end"]["line"].isNotNull() & r["end"]["character"].isNotNull()
+    return F.get(F.filter(F.array(F.from_json(json, _RANGE)), whole), F.lit(0))
 
 
 def symbols_of(answers: DataFrame) -> DataFrame:
@@ -74,24 +74,38 @@ def declared_at() -> Column:
 def enclosing(symbols: DataFrame, places: DataFrame) -> DataFrame:
     """The different ``places`` (path, line, character, ...) within a symbol, with ``inner``, the id of the smallest that encloses each.
 
-    A range belongs to the smallest block of 2^level lines, aligned to its
-    size, that holds it: one row, however long it is. A position looks into
-    its block of each level, up to the highest that any range has. So files
-    of any length and ranges of any size meet by an equi-join. Of ranges of
-    one size the first in its file counts. Both ends belong to a range.
+    A range of fewer than 64 lines is listed in the one or two blocks of 64
+    that it touches, and a position looks into its own. What is found there
+    stands if it is smaller than the smallest of the wider ranges. Only the
+    other positions look for those: a wider range belongs to the smallest
+    block of 2^level lines, aligned to its size, that holds it, and a position
+    looks into its block of each level. So files of any length and ranges of
+    any size meet by equi-joins. Of ranges of one size the first in its file
+    counts. Both ends belong to a range.
     """
+    shift = lambda line, level: F.call_function("shiftright", line, level)
     r = symbols.select(F.col("path"), F.col("symbol_id").alias("inner"), "place", F.col("range.start").alias("a"), F.col("range.end").alias("b"))
-    r = r.where("a <= b and a.line >= 0")
-    bits = F.length(F.ltrim(F.bin(F.col("a.line").bitwiseXOR(F.col("b.line")))))
-    r = r.withColumn("level", F.greatest(bits, F.lit(LEAST_LEVEL)))
-    r = r.withColumn("block", F.call_function("shiftright", F.col("a.line"), F.col("level"))).withColumn(
-        "size", (F.col("b.line") - F.col("a.line")).cast("long") * 10_000 + F.col("b.character") - F.col("a.character")
+    r = r.where("a <= b and a.line >= 0").withColumn("size", (F.col("b.line") - F.col("a.line")).cast("long") * 10_000 + F.col("b.character") - F.col("a.character"))
+    wide = F.col("b.line") - F.col("a.line") >= 1 << NARROW
+    narrow = r.where(~wide).withColumn("block", F.explode(F.array_distinct(F.array(*(shift(F.col(f"{c}.line"), F.lit(NARROW)) for c in "ab")))))
+    level = F.length(F.ltrim(F.bin(F.col("a.line").bitwiseXOR(F.col("b.line")))))
+    broad = r.where(wide).withColumn("level", level).withColumn("block", shift(F.col("a.line"), F.col("level")))
+    least, top = broad.agg(F.min("size"), F.max("level")).first()  # one row
+    at, cols, hit = F.struct("line", "character"), places.columns, F.struct("size", "place", "inner")
+
+    near = places.withColumn("block", shift(F.col("line"), F.lit(NARROW))).alias("p").join(
+        narrow.alias("n"), (F.col("p.path") == F.col("n.path")) & (F.col("p.block") == F.col("n.block")) & (at >= F.col("a")) & (at <= F.col("b")), "left"
     )
-    p = places.join(F.broadcast(r.agg(F.coalesce(F.max("level"), F.lit(LEAST_LEVEL)).alias("top"))))  # one row
-    p = p.withColumn("level", F.explode(F.sequence(F.lit(LEAST_LEVEL), F.col("top")))).withColumn("block", F.call_function("shiftright", F.col("line"), F.col("level")))
-    at = F.struct("line", "character")
-    hits = p.join(r, ["path", "level", "block"]).where((at >= F.col("a")) & (at <= F.col("b")))
-    return hits.groupBy(*places.columns).agg(F.min_by("inner", F.struct("size", "place")).alias("inner"))
+    near = near.groupBy("p.block", *(F.col(f"p.{c}") for c in cols)).agg(F.min(F.when(F.col("size").isNotNull(), hit)).alias("hit")).drop("block")
+    if least is None:
+        return near.where("hit is not null").select(*cols, "hit.inner")
+    near = stored(near, "places")
+    stands = F.coalesce(F.col("hit.size") < least, F.lit(False))
+    rest = near.where(~stands)
+    far = rest.drop("hit").withColumn("level", F.explode(F.sequence(F.lit(NARROW + 1), F.lit(top)))).withColumn("block", shift(F.col("line"), F.col("level")))
+    far = far.join(broad, ["path", "level", "block"]).where((at >= F.col("a")) & (at <= F.col("b"))).select(*cols, hit.alias("hit"))
+    rest = rest.where("hit is not null").unionByName(far).groupBy(*cols).agg(F.min("hit").alias("hit"))
+    return near.where(stands).unionByName(rest).select(*cols, "hit.inner")
 
 
 def symbol_edges_of(symbols: DataFrame, refs: DataFrame) -> DataFrame:
@@ -100,7 +114,7 @@ def symbol_edges_of(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     ``refs`` are (target_id, path, line, character). Uses outside of any
     symbol have no edge.
     """
-    return enclosing(symbols, refs.select("target_id", "path", "line", "character").distinct()).where("inner <> target_id").select(F.col("inner").alias("src"), F.col("target_id").alias("dst")).distinct()
+    return enclosing(symbols, refs.select("target_id", "path", "line", "character")).where("inner <> target_id").select(F.col("inner").alias("src"), F.col("target_id").alias("dst")).distinct()
 
 
 def counted_references(symbols: DataFrame, asked: DataFrame, refs: DataFrame) -> DataFrame:
@@ -115,16 +129,15 @@ def unused_of(symbols: DataFrame, units: DataFrame) -> DataFrame:
     """Findings (rule_id, path, symbol_id, name, line, severity, confidence) of symbols that were asked for and have no use.
 
     Names that are no identifiers, and tests and fixtures, are left out. A
-    declaration's line tells an export: only the lines of files with such
-    symbols are cut, once each. Symbols of unknown files count as not
-    exported.
+    declaration's line tells an export: only the lines that say so become
+    rows. Symbols of unknown files count as not exported.
     """
     path = F.col("path")
     some = symbols.where((F.col("external_refs") == 0) & is_identifier(F.col("name")) & ~is_test_path(path) & ~path.rlike(r"(^|/)fixtures/"))
     some = some.select("path", "symbol_id", "name", declared_at()["line"].alias("line"))
-    lines = units.join(some.select("path").distinct(), "path", "left_semi").select("path", F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
-    export = F.coalesce(F.col("said").rlike(r"\bexport\b"), F.lit(False))
-    each = some.join(lines.where(F.col("said").rlike(r"\bexport\b")), ["path", "line"], "left")
+    lines = units.select("path", F.posexplode(F.split("text", "\n", -1)).alias("line", "said")).where(F.contains("said", F.lit("export")) & F.col("said").rlike(r"\bexport\b"))
+    export = F.col("said").isNotNull()
+    each = some.join(lines, ["path", "line"], "left")
     return each.select(
         F.when(export, "unused-export").otherwise("unused-symbol").alias("rule_id"), "path", "symbol_id", "name", (F.col("line") + 1).alias("line"),
         F.when(export, "warning").otherwise("info").alias("severity"), F.when(export, "medium").otherwise("low").alias("confidence"),
@@ -138,46 +151,55 @@ def references_of(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return edges.join(into, "dst").join(src, "src").select("to_name", "from_name", "path", "line")
 
 
-def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Orders numbered within their customer, and line items within their order."""
-    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".ts")).alias("path"))
-    o = o.withColumn("i", F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey")) - 1)
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders numbered within their customer, each with its line items (j from 0) as an array; written once, as all of the servers' data is made of it."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    o = o.withColumn("i", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
-    cols = ("l_partkey", "l_suppkey", "l_quantity", "l_discount")
-    item = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), *cols, (F.row_number().over(order) - 1).alias("j"))
-    return o, o.join(item, "o_orderkey")
+    item = table(spark, d, "lineitem").withColumn("j", F.row_number().over(order) - 1)
+    row = F.struct("j", "l_partkey", "l_suppkey", (F.col("l_quantity") >= 25).alias("variable"), (F.col("l_discount") == 0).alias("outside"))
+    items = item.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(row)).alias("items"))
+    return stored(o.join(items, "o_orderkey", "left"), "orders")
 
 
 def server_answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(answers, units, asked, refs): customers as files, their orders as classes, line items as methods, and a variable in some of these.
 
     A part's first line item is what its other line items refer to, from
-    within their variable or method, or from a class's last line.
+    within their variable or method, or from a class's last line. Rows are
+    numbers until they are gathered: names and ids are made after the shuffles.
     """
-    o, item = _lines(spark, d)
+    orders = _orders(spark, d)
+    path = lambda c: F.concat(F.lit("c"), c.cast("string"), F.lit(".ts"))
+    text = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
     at = lambda line, c: F.struct(line.cast("int").alias("line"), F.lit(c).alias("character"))
     span = lambda a, b, c: F.struct(at(a, c).alias("start"), at(b, 80).alias("end"))
+    none = F.array().cast(f"array<struct<name:string,kind:int,range:{_RANGE}>>")
+
+    def method(i: Column, x: Column) -> Column:
+        line = i * 100 + 1 + x["j"] * 4
+        inner = F.struct(text("s", x["l_suppkey"]).alias("name"), F.lit(13).alias("kind"), span(line + 1, line + 2, 4).alias("range"))
+        return F.struct(
+            text("p", x["l_partkey"]).alias("name"), F.lit(6).alias("kind"), span(line, line + 3, 0).alias("range"), span(line, line, 2).alias("selectionRange"),
+            F.when(x["variable"], F.array(inner)).otherwise(none).alias("children"),
+        )
+
+    def class_(x: Column) -> Column:
+        top = x["i"] * 100
+        return F.struct(text("Order", x["o_orderkey"]).alias("name"), F.lit(5).alias("kind"), span(top, top + 99, 0).alias("range"), F.transform(x["items"], lambda y: method(x["i"], y)).alias("children"))
+
+    files = lambda *cols: orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("i", "o_orderkey", *cols))).alias("x"))
+    answers = files("items").select(path(F.col("o_custkey")).alias("path"), F.to_json(F.transform("x", class_)).alias("json"))
+    said = lambda x: F.concat(F.when(x["o_orderkey"] % 3 == 0, "export class ").otherwise("class "), text("Order", x["o_orderkey"]), F.repeat(F.lit("\n"), 99))
+    units = files().select(path(F.col("o_custkey")).alias("path"), F.array_join(F.transform("x", said), "\n").alias("text"))
+    item = orders.select("o_orderkey", "o_custkey", "i", F.inline("items"))
+    first = item.groupBy("l_partkey").agg(F.min_by(F.struct("o_custkey", "i", "j"), F.struct("o_orderkey", "j")).alias("t"))
+    id_ = lambda c, i, j: F.concat(path(c), text("#", i), text(".", j))
+    target = id_(F.col("t.o_custkey"), F.col("t.i"), F.col("t.j")).alias("target_id")
     top, line = F.col("i") * 100, F.col("i") * 100 + 1 + F.col("j") * 4
-    inner = F.struct(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name"), F.lit(13).alias("kind"), span(line + 1, line + 2, 4).alias("range"))
-    method = F.struct(
-        "j", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), F.lit(6).alias("kind"), span(line, line + 3, 0).alias("range"), span(line, line, 2).alias("selectionRange"),
-        F.when(F.col("l_quantity") >= 25, F.array(inner)).otherwise(F.array().cast(f"array<struct<name:string,kind:int,range:{_RANGE}>>")).alias("children"),
-    )
-    methods = item.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(method)).alias("children"))
-    name = F.concat(F.lit("Order"), F.col("o_orderkey").cast("string"))
-    classes = o.join(methods, "o_orderkey", "left").groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("i", name.alias("name"), F.lit(5).alias("kind"), span(top, top + 99, 0).alias("range"), "children"))).alias("classes"),
-        F.array_sort(F.collect_list(F.struct("i", F.concat(F.when(F.col("o_orderkey") % 3 == 0, "export class ").otherwise("class "), name).alias("said")))).alias("said"),
-    )
-    answers = classes.select("path", F.to_json("classes").alias("json"))
-    units = classes.select("path", F.array_join(F.transform("said", lambda s: F.concat(s["said"], F.repeat(F.lit("\n"), 99))), "\n").alias("text"))
-    own = F.concat("path", F.lit("#"), F.col("i").cast("string"))
-    ids = item.withColumn("id", F.concat(own, F.lit("."), F.col("j").cast("string")))
-    first = ids.groupBy("l_partkey").agg(F.min_by("id", F.struct("o_orderkey", "j")).alias("target_id"))
-    uses = ids.join(first, "l_partkey")
-    place = F.when(F.col("id") == F.col("target_id"), at(line, 2)).when(F.col("l_discount") == 0, at(top + 99, 0)).otherwise(at(line + 1, 6))
-    refs = uses.select("target_id", "path", place.alias("p")).select("target_id", "path", "p.*")
-    asked = first.select("target_id").union(o.select(own))
+    place = F.when(F.struct("o_custkey", "i", "j") == F.col("t"), at(line, 2)).when(F.col("outside"), at(top + 99, 0)).otherwise(at(line + 1, 6))
+    refs = item.join(first, "l_partkey").select(target, path(F.col("o_custkey")).alias("path"), F.inline(F.array(place)))
+    asked = first.select(target).union(orders.select(F.concat(path(F.col("o_custkey")), text("#", F.col("i")))))
     return answers, units, asked, refs
 
 

@@ -122,3 +122,22 @@ def test_unused_symbols_and_the_ladder(spark):
     source, rows = references(named, symbols, "OPEN")
     assert source == "indexed-edges" and [x["path"] for x in rows.collect()] == ["tests/t.ts"]
     assert references(named, symbols, "lost")[0] == "indexed-symbols"
+
+
+def test_ranges_are_read_once_and_levels_are_asked_for_by_few(spark):
+    """A range's text is parsed once; places within narrow ranges look at no levels, also across a border of large blocks; wide ranges and long lines stay right."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([('{"start":{"line":1,"character":2},"end":{"line":3,"character":4}}',), ('{"start":{"line":1}}',), ("5",), (None,)], "j string")
+    got = df.select(st._range(F.col("j")).alias("r"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json") == 1
+    assert [x["r"] and x["r"]["end"]["character"] for x in got.collect()] == [4, None, None, None]
+    schema = f"path string, symbol_id string, place array<int>, name string, kind string, container string, signal string, range {st._RANGE}, selection {st._RANGE}"
+    row = lambda i, *at: ("a", f"a#{i}", [i], "n", "Class", None, "high", r(*at), None)
+    edge = 1 << 20
+    refs = spark.createDataFrame([("a#9", "a", line, 5) for line in (edge - 1, edge, edge + 1, edge + 50)] * 2, "target_id string, path string, line int, character int")
+    narrow = st.enclosing(spark.createDataFrame([row(0, edge - 1, edge, 0, 9)], schema), refs)
+    assert "sequence(" not in narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x["line"], x["inner"]) for x in narrow.collect()) == [(edge - 1, "a#0"), (edge, "a#0")]
+    both = st.enclosing(spark.createDataFrame([row(0, edge - 1, edge, 0, 900_000), row(1, edge - 40, edge + 40, 0, 9)], schema), refs)
+    assert sorted((x["line"], x["inner"]) for x in both.collect()) == [(edge - 1, "a#1"), (edge, "a#1"), (edge + 1, "a#1")]
