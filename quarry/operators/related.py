@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import confidence_from_strong, cosine, freshness_boost
-from quarry.operators.navigator import cochange
+from quarry.operators.navigator import baskets, cochange
 from quarry.plans.registry import Registry
 from quarry.plans.shared import stored
-from quarry.plans.views import EDGES, STATS, UNITS, file_stats, import_edges, table, touches, units
+from quarry.plans.views import EDGES, STATS, UNITS, file_stats, import_edges, table, units
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -88,9 +88,7 @@ SELECT key, round(f.score + CASE WHEN recency > 900 THEN 0 WHEN recency <= 1 THE
 FROM f JOIN stats ON file = key WHERE signals <> 'topology'""")
 def related_fusion(spark: SparkSession, d: str, seed: int = SEED) -> DataFrame:
     """Files related to a seed by shared commits, edges and symbols, the signals' scores added up; edges alone don't count."""
-    t = touches(spark, d)
-    with_seed = t.where(F.col("file") == seed).select("hash")
-    pairs = cochange(t.join(with_seed, "hash", "left_semi"))
+    pairs = cochange(baskets(spark, d, of=F.col("file") == seed))
     near = pairs.where((F.col("a") == seed) | (F.col("b") == seed)).select(F.when(F.col("a") == seed, F.col("b")).otherwise(F.col("a")).alias("key"), F.lit("git").alias("signal"), (F.col("n") * 1.5).alias("score"))
     e = import_edges(spark, d).where((F.col("src") == seed) | (F.col("dst") == seed))
     top = e.select(F.when(F.col("src") == seed, F.col("dst")).otherwise(F.col("src")).alias("key")).distinct().select("key", F.lit("topology").alias("signal"), F.lit(0.5).alias("score"))
