@@ -13,9 +13,12 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
+WORD = "([A-Za-z]{4,})"
+
+
 def symbols(spark: SparkSession, d: str) -> DataFrame:
     """The first occurrence of each word of four ASCII letters or more in a unit: (path, zone, language, name, pos, kind, external_refs)."""
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z]{4,})"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(1)))
     s = units(spark, d).select("path", "zone", "language", F.posexplode(words).alias("pos", "name"))
     kind = F.when(F.col("name").rlike("^[A-Z]"), "Class").when(F.length("name") % 3 == 0, "Variable").otherwise("Function")
     return s.select("path", "zone", "language", "name", "pos", kind.alias("kind"), (F.length("name") % 2).alias("external_refs"))
@@ -51,10 +54,21 @@ def atoms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SYMBOLS}, r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pos) AS k FROM sym),
 g AS (SELECT path, name, row_number() OVER (ORDER BY path, pos) AS n FROM r WHERE k <= 25) SELECT path, name, n FROM g WHERE n <= 500""")
 def symbol_budget(spark: SparkSession, d: str, per_file: int = 25, budget: int = 500) -> DataFrame:
-    """The first ``budget`` symbols in the order of files, at most ``per_file`` of one. The limit comes before the numbers: only its rows meet in one task."""
-    r = symbols(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).where(F.col("k") <= per_file)
-    first = r.orderBy("path", "pos").limit(budget)
-    return first.select("path", "name", F.row_number().over(Window.orderBy("path", "pos")).cast("long").alias("n"))
+    """The first ``budget`` symbols in the order of files, at most ``per_file`` of one.
+
+    As many files that have a symbol are enough: those are looked for first,
+    and only their texts are cut into words. Of a text only the first
+    ``per_file`` words go on, so no task holds the symbols of all files.
+    """
+    u, order = units(spark, d).where(F.rlike("text", F.lit(WORD))), F.asc_nulls_last("path")
+    first = u.select(F.col("path").alias("first")).distinct().orderBy(F.asc_nulls_last("first")).limit(budget)
+    u = u.join(F.broadcast(first), F.col("path").eqNullSafe(F.col("first")), "left_semi")
+    u = u.select("path", "zone", "language", F.regexp_extract_all("text", F.lit(WORD), F.lit(1)).alias("words"))
+    s = u.select("path", "zone", "language", "words", F.explode(F.slice(F.array_distinct("words"), 1, per_file)).alias("name"))
+    s = s.groupBy("path", "zone", "language", "name").agg(F.min(F.array_position("words", F.col("name"))).alias("i"))
+    r = s.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("i"))).where(F.col("k") <= per_file)
+    r = r.orderBy(order, "k").limit(budget)
+    return r.select("path", "name", F.row_number().over(Window.orderBy(order, "k")).cast("long").alias("n"))
 
 
 @query(f"""WITH {SYMBOLS} SELECT path, name, CASE WHEN kind = 'Class' THEN 'unused-export' ELSE 'unused-symbol' END AS rule_id FROM sym
