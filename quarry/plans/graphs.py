@@ -58,7 +58,8 @@ def _tarjan(pdf: pd.DataFrame) -> pd.DataFrame:
                         if m == node:
                             break
                     if len(members) > 1:
-                        rows += [(m, min(members)) for m in members]
+                        least = min(members)  # once: a component may hold most of the nodes
+                        rows += [(m, least) for m in members]
     return pd.DataFrame(rows, columns=["node", "component"])
 
 

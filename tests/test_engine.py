@@ -87,6 +87,25 @@ def test_ring_in_one_task(spark):
     assert strong_components(spark.createDataFrame(RING, "src long, dst long")).count() == 60
 
 
+def test_a_large_component_is_linear():
+    """A component's nodes are compared a few times each, not all with all."""
+    from quarry.plans.graphs import _tarjan
+
+    class Node(int):
+        compared = 0
+        __hash__ = int.__hash__
+
+        def __lt__(self, other):
+            Node.compared += 1
+            return int(self) < int(other)
+
+    n = 2000
+    nodes = [Node(i) for i in range(n)]
+    ring = pd.DataFrame({"src": pd.Series(nodes, dtype=object), "dst": pd.Series(nodes[1:] + nodes[:1], dtype=object)})
+    got = _tarjan(ring)
+    assert len(got) == n and set(got["component"]) == {0} and Node.compared < 20 * n
+
+
 @pytest.mark.parametrize("small", [1_000_000, 0])
 def test_widest_paths(spark, small):
     e = spark.createDataFrame([("i", "a", 1.0), ("a", "b", 0.5), ("i", "c", 1.0), ("c", "b", 1.0), ("c", "d", 0.5), ("x", "y", 1.0)], "src string, dst string, confidence double")
