@@ -23,6 +23,8 @@ NARROW = 6  # ranges of fewer than 64 lines meet in blocks of 64
 _POSITION = "struct<line:int,character:int>"
 _RANGE = f"struct<start:{_POSITION},end:{_POSITION}>"
 _SYMBOL = "name string, kind string, containerName string, range string, selectionRange string, location struct<range:string>, children string"
+_NAMES = f"name:string,kind:string,containerName:string,range:{_RANGE},selectionRange:{_RANGE},location:struct<range:{_RANGE}>"
+_TREE = f"struct<{_NAMES},children:array<struct<{_NAMES},children:array<struct<{_NAMES},children:string>>>>,_bad:string>"  # three levels; _bad is set if anything isn't of its type
 
 
 def _range(json: Column) -> Column:
@@ -34,11 +36,13 @@ def _range(json: Column) -> Column:
 def symbols_of(answers: DataFrame) -> DataFrame:
     """Rows (path, symbol_id, place, name, kind, container, signal, range, selection) of ``answers`` (path, json), the servers' documentSymbol results.
 
-    A level of nesting is a round: the elements of its arrays become rows, and
-    their children, still JSON, are the arrays of the next. Rounds go on until
-    none has children, so any depth is read whole. ``place`` is the way from
-    the root by index, and sorts symbols as the answer has them; it stands
-    behind the path in ``symbol_id``.
+    Three levels of nesting are a round, as an element whose parts all have
+    their types is read at once; of any other element one level is a round,
+    with all of its parts read by themselves. Children below, still JSON, are
+    the arrays of the next round. Rounds go on until none has children, so any
+    depth is read whole. ``place`` is the way from the root by index, and
+    sorts symbols as the answer has them; it stands behind the path in
+    ``symbol_id``.
 
     As a server may leave out anything: a missing name is empty, a kind that
     is no known number is Variable, a malformed range is taken from the
@@ -50,15 +54,40 @@ def symbols_of(answers: DataFrame) -> DataFrame:
     level = answers.select("path", F.array().cast("array<int>").alias("above"), F.lit(None).cast("string").alias("parent"), F.col("json").alias("children"))
     begins = lambda c, mark: F.substring(F.ltrim(c), 1, 1) == mark
     origin = F.from_json(F.lit('{"start":{"line":0,"character":0},"end":{"line":0,"character":0}}'), _RANGE)
-    kind = F.when(F.col("s.kind").rlike(r"^[0-9]{1,4}$"), F.get(F.array(*map(F.lit, KINDS)), F.col("s.kind").cast("int") - 1))
+    kinds = F.array(*map(F.lit, KINDS))
+    whole = lambda r: F.when(r["start"]["line"].isNotNull() & r["start"]["character"].isNotNull() & r["end"]["line"].isNotNull() & r["end"]["character"].isNotNull(), r)
+
+    def row(s: Column, place: Column, parent: Column, ranges: tuple[Column, Column, Column], children: Column) -> Column:
+        kind = F.when(s["kind"].rlike(r"^[0-9]{1,4}$"), F.get(kinds, s["kind"].cast("int") - 1))
+        return F.struct(
+            place.alias("place"), F.coalesce(s["name"], F.lit("")).alias("name"), F.coalesce(kind, F.lit("Variable")).alias("kind"), F.coalesce(s["containerName"], parent).alias("container"),
+            F.coalesce(ranges[0], ranges[1], origin).alias("range"), ranges[2].alias("selection"), children.alias("children"),
+        )
+
+    def typed(s: Column, place: Column, parent: Column, children: Column) -> Column:
+        return row(s, place, parent, (whole(s["range"]), whole(s["location"]["range"]), whole(s["selectionRange"])), children)
+
+    name = lambda s: F.coalesce(s["name"], F.lit(""))
+    none = F.lit(None).cast("string")
+
+    def below(s: Column, place: Column, inner) -> Column:
+        """Rows of the children of ``s``, by ``inner`` of (child, place, parent); what is no object has none."""
+        each = F.transform(s["children"], lambda c, i: F.when(c.isNotNull(), inner(c, F.concat(place, F.array(i)), name(s))))
+        return F.coalesce(F.flatten(F.filter(each, lambda x: x.isNotNull())), F.array())
+
+    s, place = F.col("s"), F.concat("above", F.array("i"))
+    third = lambda c, at, parent: F.array(typed(c, at, parent, c["children"]))
+    second = lambda c, at, parent: F.concat(F.array(typed(c, at, parent, none)), below(c, at, third))
+    tree = F.concat(F.array(typed(s, place, F.col("parent"), none)), below(s, place, second))
+    loose = F.from_json("j", _SYMBOL)
+    single = F.transform(F.array(loose), lambda s: row(s, place, F.col("parent"), (_range(s["range"]), _range(s["location"]["range"]), _range(s["selectionRange"])), s["children"]))
     found = None
     while found is None or level.limit(1).count():
-        elements = level.where(begins("children", "[")).select("path", "above", "parent", F.posexplode(F.from_json("children", "array<string>")).alias("i", "j"))
-        rows = elements.where(begins("j", "{")).withColumn("s", F.from_json("j", _SYMBOL)).select(
-            "path", F.concat("above", F.array("i")).alias("place"), F.coalesce("s.name", F.lit("")).alias("name"), F.coalesce(kind, F.lit("Variable")).alias("kind"),
-            F.coalesce("s.containerName", "parent").alias("container"), F.coalesce(_range(F.col("s.range")), _range(F.col("s.location.range")), origin).alias("range"),
-            _range(F.col("s.selectionRange")).alias("selection"), F.col("s.children").alias("children"),
-        )
+        # Outer ones, as the filters that Spark infers for the others would make and read all JSON again.
+        parts = F.when(begins("children", "["), F.from_json("children", "array<string>"))
+        elements = level.select("path", "above", "parent", F.posexplode_outer(parts).alias("i", "j"))
+        rows = elements.where(begins("j", "{")).withColumn("s", F.from_json("j", _TREE, {"columnNameOfCorruptRecord": "_bad"}))
+        rows = rows.select("path", F.explode_outer(F.when(F.col("s._bad").isNull(), tree).otherwise(single)).alias("x")).select("path", "x.*")
         rows = stored(rows, "symbols")
         found = rows if found is None else found.unionByName(rows)
         level = rows.where("children is not null").select("path", F.col("place").alias("above"), F.col("name").alias("parent"), "children")
@@ -129,15 +158,20 @@ def unused_of(symbols: DataFrame, units: DataFrame) -> DataFrame:
     """Findings (rule_id, path, symbol_id, name, line, severity, confidence) of symbols that were asked for and have no use.
 
     Names that are no identifiers, and tests and fixtures, are left out. A
-    declaration's line tells an export: only the lines that say so become
-    rows. Symbols of unknown files count as not exported.
+    declaration's line tells an export: a file's symbols meet its text in a
+    row, so that it is cut into lines once, and no line becomes a row. Symbols
+    of unknown files count as not exported.
     """
     path = F.col("path")
     some = symbols.where((F.col("external_refs") == 0) & is_identifier(F.col("name")) & ~is_test_path(path) & ~path.rlike(r"(^|/)fixtures/"))
     some = some.select("path", "symbol_id", "name", declared_at()["line"].alias("line"))
-    lines = units.select("path", F.posexplode(F.split("text", "\n", -1)).alias("line", "said")).where(F.contains("said", F.lit("export")) & F.col("said").rlike(r"\bexport\b"))
-    export = F.col("said").isNotNull()
-    each = some.join(lines, ["path", "line"], "left")
+    files = some.groupBy("path").agg(F.collect_list(F.struct("symbol_id", "name", "line")).alias("symbols"))
+    each = files.join(units.select("path", F.split("text", "\n", -1).alias("lines")), "path", "left")
+    said = lambda x: F.coalesce(F.get("lines", x["line"]), F.lit(""))
+    export = F.col("export")
+    each = each.select("path", F.inline_outer(F.transform("symbols", lambda x: F.struct(
+        x["symbol_id"].alias("symbol_id"), x["name"].alias("name"), x["line"].alias("line"), (F.contains(said(x), F.lit("export")) & said(x).rlike(r"\bexport\b")).alias("export")
+    ))))
     return each.select(
         F.when(export, "unused-export").otherwise("unused-symbol").alias("rule_id"), "path", "symbol_id", "name", (F.col("line") + 1).alias("line"),
         F.when(export, "warning").otherwise("info").alias("severity"), F.when(export, "medium").otherwise("low").alias("confidence"),

@@ -141,3 +141,26 @@ def test_ranges_are_read_once_and_levels_are_asked_for_by_few(spark):
     assert sorted((x["line"], x["inner"]) for x in narrow.collect()) == [(edge - 1, "a#0"), (edge, "a#0")]
     both = st.enclosing(spark.createDataFrame([row(0, edge - 1, edge, 0, 900_000), row(1, edge - 40, edge + 40, 0, 9)], schema), refs)
     assert sorted((x["line"], x["inner"]) for x in both.collect()) == [(edge - 1, "a#1"), (edge, "a#1"), (edge + 1, "a#1")]
+
+
+def test_json_is_read_once_and_lines_are_no_rows(spark, monkeypatch):
+    """Three levels of well-formed answers are one round, and deeper ones and others are as before; Spark repeats no reading of JSON in a filter."""
+    leaf = lambda n, *children: {"name": n, "kind": 12, "range": {"start": {"line": 1, "character": 0}, "end": {"line": 2, "character": 3}}, **({"children": list(children)} if children else {})}
+    good, deep = [leaf("a", leaf("b", leaf("c")), leaf("d"))], [leaf("a", leaf("b", leaf("c", leaf("e", leaf("f")))))]
+    odd = [leaf("a", {**leaf("b", leaf("c")), "kind": "6"}, None, leaf("d")), leaf("g", {**leaf("h"), "range": "none"}, 7, leaf("i"))]
+    from pyspark.sql import functions as F
+
+    rounds, plans, keep = [], [], st.stored
+    monkeypatch.setattr(st, "stored", lambda df, name: rounds.append(name) or plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    read = lambda answer: [(x["name"], x["place"], x["kind"], x["container"], x["range"]["end"]["character"]) for x in sorted(st.symbols_of(spark.createDataFrame([("p", json.dumps(answer))], "path string, json string")).collect(), key=lambda x: x["place"])]
+    assert [x[:2] for x in read(good)] == [("a", [0]), ("b", [0, 0]), ("c", [0, 0, 0]), ("d", [0, 1])] and rounds == ["symbols"]
+    assert not any("Filter" in line and "from_json" in line for line in plans[0].split("\n"))
+    assert [x[0] for x in read(deep)] == ["a", "b", "c", "e", "f"]
+    assert read(odd) == [
+        ("a", [0], "Function", None, 3), ("b", [0, 0], "Method", "a", 3), ("c", [0, 0, 0], "Function", "b", 3), ("d", [0, 2], "Function", "a", 3),
+        ("g", [1], "Function", None, 3), ("h", [1, 0], "Function", "g", 0), ("i", [1, 2], "Function", "g", 3),
+    ]
+    symbols = spark.createDataFrame([("p", "p#0", "x", 1, 0)], "path string, symbol_id string, name string, line int, external_refs long").withColumn("selection", F.struct(F.struct("line").alias("start"))).withColumn("range", F.col("selection"))
+    found = st.unused_of(symbols, spark.createDataFrame([("p", "a\nexport b\nc")], "path string, text string"))
+    assert [tuple(x)[:5] for x in found.collect()] == [("unused-export", "p", "p#0", "x", 2)]
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
